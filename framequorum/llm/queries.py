@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding, topk, urls
+from . import gif, mixing, sharding, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's digests; the frames and the media bytes are the operator's own output."""
+    return gif.archive_texts(_table(spark, sf_dir, "documents"), keep_media=False).drop("frames")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -27,7 +36,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op8_top_k, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_gif_media, op8_top_k, op9_mixing, op10_url_filter)}
 
 ORACLES = {
     "op8_top_k": """
