@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gif, mixing, sharding, topk, toxicity, urls
+from . import gif, mixing, sharding, simhash, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.archive_texts(_table(spark, sf_dir, "documents"), keep_media=False).drop("frames")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_gif_media, op8_top_k, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_gif_media, op7_simhash, op8_top_k, op9_mixing, op10_url_filter)}
 
 ORACLES = {
     "op8_top_k": """
