@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gif, mixing, sharding, simhash, topk, toxicity, urls
+from . import gif, langid, mixing, sharding, simhash, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on web pages, where markup, address and host all speak."""
+    return langid.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_gif_media, op7_simhash, op8_top_k, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op5_gif_media, op7_simhash, op8_top_k, op9_mixing, op10_url_filter, language_of_pages)}
 
 ORACLES = {
     "op8_top_k": """
