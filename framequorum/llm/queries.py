@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gif, langid, mixing, pieces, sharding, simhash, topk, toxicity, urls
+from . import gif, langid, mixing, pieces, repeats, sharding, simhash, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive's digests; the frames and the media bytes are the operator's own output."""
     return gif.archive_texts(_table(spark, sf_dir, "documents"), keep_media=False).drop("frames")
@@ -53,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op5_gif_media, op6_sentencepiece, op7_simhash, op8_top_k, op9_mixing, op10_url_filter, language_of_pages)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_suffix_dedup, op5_gif_media, op6_sentencepiece, op7_simhash, op8_top_k, op9_mixing, op10_url_filter, language_of_pages)}
 
 ORACLES = {
     "op8_top_k": """
