@@ -117,13 +117,22 @@ def match(a: np.ndarray, b: np.ndarray, threshold: float = 0.3) -> list[tuple[in
 
 
 def match_frames(a: DataFrame, b: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Optimal pairs of a frame's boxes: (video_id, frame_index, a_ord, b_ord, iou); frames are small groups."""
+    """Optimal pairs of a frame's boxes: (video_id, frame_index, a_ord, b_ord, iou).
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ord"), right.sort_values("ord")
-        found = match(left[list(EDGES)].to_numpy(float), right[list(EDGES)].to_numpy(float), threshold)
-        ai, bi = left["ord"].to_numpy(), right["ord"].to_numpy()
-        return pd.DataFrame([(left["video_id"].iloc[0], left["frame_index"].iloc[0], ai[i], bi[j], x) for i, j, x in found], columns=["video_id", "frame_index", "a_ord", "b_ord", "iou"])
+    Each side's boxes become one array per frame and meet in an equi-join, so Python gets
+    Arrow batches of many frames and not a call per frame.
+    """
+
+    def boxes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord", *[F.col(e).cast("double").alias(e) for e in EDGES]))).alias(name))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for video, frame, left, right in zip(pdf["video_id"], pdf["frame_index"], pdf["a"], pdf["b"], strict=True):
+                x, y = (np.array([[r[e] for e in EDGES] for r in side]).reshape(-1, 4) for side in (left, right))
+                out += [(video, frame, left[i]["ord"], right[j]["ord"], v) for i, j, v in match(x, y, threshold)]
+            yield pd.DataFrame(out, columns=["video_id", "frame_index", "a_ord", "b_ord", "iou"])
 
-    narrow = [*KEY, "ord", *EDGES]
-    return a.select(*narrow).groupBy(*KEY).cogroup(b.select(*narrow).groupBy(*KEY)).applyInPandas(run, "video_id long, frame_index long, a_ord long, b_ord long, iou double")
+    both = boxes(a, "a").join(boxes(b, "b"), list(KEY))
+    return both.mapInPandas(run, "video_id long, frame_index long, a_ord long, b_ord long, iou double")
