@@ -250,10 +250,10 @@ def agg16_corpus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.accuracy(old.unionByName(new).join(truth, "track_id"), "method")
 
 
-@query(READINGS + """SELECT track_id, round(sum(coalesce(confidence, 0) * greatest(1, length(trim(coalesce(text, ''))))) / sum(greatest(1, length(trim(coalesce(text, ''))))), 6) AS confidence FROM readings GROUP BY ALL""")
+@query(READINGS + """SELECT track_id, round(sum(coalesce(confidence, 0) * greatest(1, length(trim(coalesce(text, ''))))) / sum(greatest(1, length(trim(coalesce(text, ''))))), 9) AS confidence FROM readings GROUP BY ALL""")
 def agg22_weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = view(spark, sf_dir, "readings").groupBy("track_id").agg(weighted_confidence(F.coalesce("confidence", F.lit(0.0)), F.col("text")).alias("confidence"))
-    return out.withColumn("confidence", F.round("confidence", 6))
+    return out.withColumn("confidence", F.round("confidence", 9))
 
 
 @query(READINGS + """SELECT track_id, ord, text, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(confidence, 0) DESC, ord) AS p FROM readings) WHERE p = 1""")
