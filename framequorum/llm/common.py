@@ -48,6 +48,15 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit:
     return left.join(right, on, how).drop("_lookup_key", "_salt", "_salt_r")
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Lower the session's Arrow batches to ``rows`` rows: texts can be long, and a batch is held by both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of an Arrow string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,3 +82,4 @@ def by_bytes(batches, column: str, most: int = 4 << 20, rows: int = 2000):
             end = min(max(end, begin + 1), n, begin + rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()

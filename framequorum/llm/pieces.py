@@ -11,15 +11,20 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, utf8_buffer
+from .common import by_bytes, small_batches, utf8_buffer
 
 #: Where the public tokenizers are; a parameter of every operator here.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a worker remembers (two generations of half as many).
-REMEMBERED = 400_000
+REMEMBERED = 120_000
+#: Pairs of neighbours that a worker remembers.
+PAIRS = 250_000
+#: Longer words stream through a bounded window and are not remembered.
+LONG_UNIT = 64
 NEVER = 1 << 60
+NONE: dict = {}
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -75,12 +80,8 @@ class Pieces:
         self.worst = min((self.scores[i] for i in plain), default=0.0) - 10.0
         order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in plain}, reverse=True))}
         self.rank = {i: order[self.scores[i]] for i in plain}
-        self.back: dict = {}
-        for text, i in self.vocab.items():
-            node = self.back
-            for c in reversed(text):
-                node = node.setdefault(c, {})
-            node[""] = i
+        # Pieces from their last character back: character -> (further characters, the piece that begins here or -1).
+        self.back = self._ends(sorted((text[::-1], i) for text, i in self.vocab.items()), 0)
         self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.vocab)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.spines: dict[int, tuple[list[int], list[int]] | None] = {}
@@ -88,6 +89,20 @@ class Pieces:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def _ends(self, pieces: list[tuple[str, int]], depth: int) -> dict:
+        """Levels of ``back`` for sorted reversed pieces that share their first ``depth`` characters."""
+        out: dict[str, tuple[dict, int]] = {}
+        at = 0
+        while at < len(pieces):
+            c, end = pieces[at][0][depth], at
+            while end < len(pieces) and pieces[end][0][depth] == c:
+                end += 1
+            here = len(pieces[at][0]) == depth + 1
+            rest = pieces[at + here : end]
+            out[c] = (self._ends(rest, depth + 1) if rest else NONE, pieces[at][1] if here else -1)
+            at = end
+        return out
+
     # BPE: which pieces may be neighbours.
 
     def _tree(self, i: int) -> tuple[list[int], list[int]] | None:
@@ -154,12 +169,12 @@ class Pieces:
             node, at = vocab_root, i
             chosen, length, top = None, 0, -float("inf")
             while at and i - at < longest:
-                node = node.get(text[at - 1])
-                if node is None:
+                entry = node.get(text[at - 1])
+                if entry is None:
                     break
                 at -= 1
-                k = node.get("")
-                if k is None or size[at] < 0:
+                node, k = entry
+                if k < 0 or size[at] < 0:
                     continue
                 if bpe:
                     p = last[at]
@@ -222,29 +237,91 @@ class Pieces:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _learn(self, units: Iterable[str]) -> None:
+        """Remember the ids of merge units, in order, so that each goes on where its common start with the one before ends.
+
+        A prefix's last piece does not depend on what follows, and only one piece can stand
+        last, so the search stops at the first that may.
+        """
+        young, stand, root, vocab = self.young, self.stand, self.back, self.vocab
+        before, last, size = "", [None], [0]
+        for unit in sorted(units):
+            same, most = 0, min(len(before), len(unit))
+            while same < most and before[same] == unit[same]:
+                same += 1
+            del last[same + 1 :], size[same + 1 :]
+            before = unit
+            for i in range(same + 1, len(unit) + 1):
+                level, at, chosen = root, i, None
+                while at:
+                    entry = level.get(unit[at - 1])
+                    if entry is None:
+                        break
+                    at -= 1
+                    level, k = entry
+                    if k < 0:
+                        continue
+                    p = last[at]
+                    if p is None:
+                        if at or self._tree(k) is None:
+                            continue
+                    elif p >= 0:
+                        ok = stand.get(p << 24 | k)
+                        if ok is None:
+                            ok = stand[p << 24 | k] = self._neighbours(p, k)
+                        if not ok:
+                            continue
+                    elif self._tree(k) is None:
+                        continue
+                    chosen = k
+                    break
+                if chosen is None and unit[i - 1] not in vocab:
+                    chosen, at = -1 - ord(unit[i - 1]), i - 1
+                last.append(chosen)
+                size.append(i - at if chosen is not None else -1)
+            young[unit] = self._ids(self._path(last, size, len(unit)))
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; empty for an empty one."""
-        if not text:
-            return []
-        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts; words that are new to the worker are searched together."""
         if not self.breaks:
-            return list(self._ids(self.stream(text)))
-        out: list[int] = []
+            return [list(self._ids(self.stream(self._spaced(t)))) if t else [] for t in texts]
+        cut = [self.unit.findall(self._spaced(t)) if t else [] for t in texts]
+        if len(self.young) >= REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        if len(self.stand) > PAIRS:
+            self.stand.clear()
         young, old = self.young, self.old
-        for unit in self.unit.findall(text):
-            ids = young.get(unit)
-            if ids is None:
-                ids = old.get(unit)
-                if ids is None:
-                    ids = self._ids(self.stream(unit))
-                if len(unit) <= 40:
-                    if len(young) >= REMEMBERED // 2:
-                        self.old = old = young
-                        self.young = young = {}
-                    young[unit] = ids
-            out += ids
+        fresh = set()
+        for units in cut:
+            fresh.update(units)
+        long, learn = {}, []
+        for unit in fresh:
+            if unit in young:
+                continue
+            if unit in old:
+                young[unit] = old[unit]
+            elif len(unit) > LONG_UNIT:
+                long[unit] = self._ids(self.stream(unit))
+            elif self.kind == BPE:
+                learn.append(unit)
+            else:
+                young[unit] = self._ids(self.stream(unit))
+        self._learn(learn)
+        out = []
+        for units in cut:
+            ids: list[int] = []
+            for unit in units:
+                ids += young[unit] if unit in young else long[unit]
+            out.append(ids)
         return out
 
+    def _spaced(self, text: str) -> str:
+        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; control ids are silent, byte runs that are no UTF-8 give U+FFFD."""
         parts: list[str] = []
@@ -293,13 +370,12 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
 
     def run(batches):
         pieces = loaded(model)
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             raw, offsets = utf8_buffer(batch.column(1))
             data = raw.tobytes()
             ends, whole, parts = [0], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                text = data[a:b].decode("utf-8", "replace")
-                ids = pieces.encode(text)
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            for text, ids in zip(texts, pieces.encode_all(texts), strict=True):
                 whole.append(pieces.decode(ids) == text.replace(SPACE, " "))
                 parts.append(np.array(ids, np.int32))
                 ends.append(ends[-1] + len(ids))
@@ -307,7 +383,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(offsets)), pa.array(whole, pa.bool_())], names=["doc_id", "ids", "n_ids", "n_bytes", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
+    return small_batches(rows).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
