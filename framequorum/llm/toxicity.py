@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, utf8_buffer
+from .common import by_bytes, small_batches, utf8_buffer
 
 #: Toxic rows that training takes at most, and three times as many others: the bound of what reaches the driver.
 TRAIN_ROWS = 600
@@ -100,13 +100,7 @@ class SubwordSoftmax:
         if not len(labels) or labels.min() == labels.max():
             self.weights[:] = 0
             return self
-        sizes = np.array([len(x) for x in texts])
-        bag = subwords(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(sizes)].astype(np.int64), self.bits)
-        ids = np.stack(bag.ids, axis=1)[np.stack(bag.valid, axis=1)]
-        bounds = np.zeros(len(bag.bounds) + 1, np.int64)
-        if len(bag.bounds):
-            bounds[1:] = np.cumsum(sum(np.add.reduceat(v.astype(np.int64), bag.bounds) for v in bag.valid))
-        text_of = bag.text_of
+        ids, bounds, text_of = self._training_windows(texts)
         there = np.unique(text_of)
         y = labels[there]
         n = len(there)
@@ -134,13 +128,33 @@ class SubwordSoftmax:
             self.bias -= (0.5 * delta.mean(0)).astype(np.float32)
         return self
 
+    def _training_windows(self, texts: list[bytes], most: int = 512 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subword ids of all windows, where each window begins among them, and its text; hashed about ``most`` bytes at a time."""
+        ids, counts, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= most:
+                size += len(texts[end])
+                end += 1
+            sizes = np.array([len(x) for x in texts[at:end]])
+            bag = subwords(np.frombuffer(b"".join(texts[at:end]), np.uint8), np.r_[0, np.cumsum(sizes)].astype(np.int64), self.bits)
+            if len(bag.bounds):
+                ids.append(np.stack(bag.ids, axis=1)[np.stack(bag.valid, axis=1)])
+                counts.append(sum(np.add.reduceat(v.astype(np.int64), bag.bounds) for v in bag.valid))
+                owners.append(bag.text_of + at)
+            at = end
+        return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(counts))], np.concatenate(owners)
+
     def _per_subword(self) -> np.ndarray:
         return (self.embeddings @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
     def _window_logits(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self._per_subword()[ids], dtype=np.float64)]
-        n = np.maximum(np.diff(bounds), 1)
-        return (total[bounds[1:]] - total[bounds[:-1]]) / n + float(self.bias[1] - self.bias[0])
+        n = np.diff(bounds)
+        if not len(ids):
+            return np.full(len(n), float(self.bias[1] - self.bias[0]))
+        total = np.add.reduceat(self._per_subword()[ids], np.minimum(bounds[:-1], len(ids) - 1))
+        return np.where(n > 0, total / np.maximum(n, 1), 0.0) + float(self.bias[1] - self.bias[0])
 
     def scorer(self) -> WindowScorer:
         return WindowScorer(self.bits, self._per_subword(), float(self.bias[1] - self.bias[0]), self.prior)
@@ -199,4 +213,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = rows.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "text")
-    return held.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
