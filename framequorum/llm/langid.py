@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, keep, lookup, utf8_buffer
+from .common import BROADCAST_ROWS, by_bytes, keep, lookup, small_batches, utf8_buffer
 from .urls import url_parts
 
 #: Labelled rows per language, and languages, that the text model is fitted on at most.
@@ -127,7 +127,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return TrigramModel.fit([r["text"].encode() for r in seen], [r["lang"] for r in seen])
 
 
-def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.6) -> DataFrame:
+def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.5) -> DataFrame:
     """(id, language, confidence, trigrams, accepted) for rows of id, text, host, domain, suffix and markup."""
 
     def run(batches):
@@ -141,7 +141,7 @@ def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.6) -> Da
             others = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "host", "domain", "suffix", "markup")]
             yield pa.RecordBatch.from_arrays([*others, *lists, pa.array(count)], names=["id", "host", "domain", "suffix", "markup", "loglik", "share", "trigrams"])
 
-    scored = rows.select("id", "text", "host", "domain", "suffix", "markup").mapInArrow(run, "id long, host string, domain string, suffix string, markup string, loglik array<double>, share array<double>, trigrams long")
+    scored = small_batches(rows).select("id", "text", "host", "domain", "suffix", "markup").mapInArrow(run, "id long, host string, domain string, suffix string, markup string, loglik array<double>, share array<double>, trigrams long")
     return fuse(keep(scored), model.languages, threshold)
 
 
@@ -151,7 +151,7 @@ def declared(text: Column) -> Column:
     return F.when(text.contains("<html") & (tag != ""), tag)
 
 
-def identify_documents(docs: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def identify_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Language of every document: (doc_id, language, confidence, trigrams, accepted).
 
     The text model learns from the ``lang`` column of a bounded sample; a row's own ``lang``
@@ -170,7 +170,7 @@ def identify_documents(docs: DataFrame, threshold: float = 0.6, id_col: str = "d
     return identify(rows, model, threshold).withColumnRenamed("id", "doc_id")
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+def identify_pages(pages: DataFrame, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Language of web pages, with all four kinds of evidence; the text model comes from docs.
 
     Text is the page without scripts, styles and tags; host, registered domain (its last two
@@ -185,7 +185,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame, threshold: float = 0.6) ->
     return identify(rows, model, threshold).withColumnRenamed("id", "page_id")
 
 
-def accepted_documents(docs: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", **columns) -> DataFrame:
+def accepted_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", **columns) -> DataFrame:
     """The documents whose language is accepted, all columns kept; a row without an id goes or stays with the others without one."""
     found = identify_documents(docs, threshold, id_col, **columns)
     gone = keep(found.where(~F.col("accepted")).select("doc_id").distinct())
