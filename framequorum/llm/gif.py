@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, utf8_buffer
+from .common import by_bytes, small_batches, utf8_buffer
 
 WIDTH = 192
 FRAME_ROWS = 256
@@ -294,4 +294,4 @@ def archive_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several frames of 256 rows; equal texts give equal values; an empty table gives no rows.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<delay_ms: int, width: int, height: int, histogram: array<long>>>" + ", media binary" * keep_media
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_archive(keep_media), schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_archive(keep_media), schema)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, keep, utf8_buffer
+from .common import by_bytes, keep, small_batches, utf8_buffer
 from .suffix import sort_suffixes
 
 #: Bytes of a string whose repetition counts; sort_suffixes counts prefixes up to this.
@@ -17,10 +17,10 @@ LENGTH = 100
 GRAM, FINE_GRAM = 32, 96
 #: Distinct segments of one anchor value from which on they are split by finer grams.
 HOT = 500
-SLICE = 2 << 20
+SLICE = 1 << 20
 POSITION_BITS = 22
-BUCKET_SEGMENTS = 300_000
-SHARD_BYTES = 512 << 10
+BUCKET_SEGMENTS = 150_000
+SHARD_BYTES = 384 << 10
 NO_ID = -(2**63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -312,7 +312,7 @@ def _finish(keep_text: bool):
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             raw, ends = utf8_buffer(batch.column(batch.schema.get_field_index("text")))
             lists = batch.column(batch.schema.get_field_index("spans"))
             flat, cuts = lists.flatten(), lists.offsets.to_numpy()
@@ -385,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    spans = keep(repeated_spans(rows.select("doc", "crc", "text")))
+    spans = keep(repeated_spans(small_batches(rows).select("doc", "crc", "text")))
     lists = spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.join(lists, ["doc", "crc"], "left").select("row", "text", "spans").mapInArrow(_finish(keep_text), f"row {kind}, {fields}")

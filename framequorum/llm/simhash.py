@@ -9,14 +9,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, keep, lookup, utf8_buffer
+from .common import BROADCAST_ROWS, by_bytes, keep, lookup, small_batches, utf8_buffer
 from .graph import components, merge
 
 SEED = 42
 LEAF = 32
 FAN = 8
 #: Rows that the index of one chunk takes before it is searched.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 50_000
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -260,7 +260,7 @@ def text_fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: s
     """(doc_id, fp): the SimHash of each whole text's word shingles, 8 big-endian bytes a lane."""
 
     def run(batches):
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             raw, offsets = utf8_buffer(batch.column(1))
             data = raw.tobytes()
             x = fingerprints([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], words, lanes)
@@ -268,7 +268,7 @@ def text_fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[i : i + 8 * lanes] for i in range(0, len(flat), 8 * lanes)], pa.binary())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary")
+    return small_batches(rows).mapInArrow(run, "doc_id long, fp binary")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, exact: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
