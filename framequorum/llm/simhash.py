@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, cos, log2, pi
+from math import cos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,10 @@ LEAF = 32
 FAN = 8
 #: Rows that the index of one chunk takes before it is searched.
 CHUNK_ROWS = 50_000
+#: Bits of a band where no band is sure to be shared; the same for every number of rows.
+BAND_BITS = 13
+#: Pairs that are compared at a time.
+BLOCK = 1 << 20
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -128,10 +132,29 @@ class GrayIndex:
         return q[near], node[near]
 
 
+def close_pairs(x: np.ndarray, radius: int):
+    """Blocks of pairs (row, later row) with at most ``radius`` differing bits, every pair compared.
+
+    For radii that no node of the index exceeds; half the words rule out most unlike pairs.
+    """
+    words = [np.ascontiguousarray(x[:, k]) for k in range(x.shape[1])]
+    half = (len(words) + 1) // 2
+    step = max(1, BLOCK // max(1, len(x)))
+    for at in range(0, len(x) - 1, step):
+        differ = np.zeros((min(step, len(x) - at), len(x) - at), np.uint16)
+        for w in words[:half]:
+            differ += np.bitwise_count(w[at : at + step, None] ^ w[None, at:])
+        i, j = np.nonzero(differ <= radius)
+        i, j = i[j > i] + at, j[j > i] + at
+        near = _bits(x[i] ^ x[j]) <= radius
+        yield i[near], j[near]
+
+
 def link_groups(group: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, root) of every row that a chain of links within its group ties to an earlier row.
 
-    Groups of one leaf are compared directly; larger ones through their index.
+    Groups of one leaf are compared directly; larger ones through their index, or pair by pair
+    if the radius is over an eighth of the bits, where the index drops nothing.
     """
     order = np.lexsort((*[gray_rank(x[:, k]) for k in range(x.shape[1] - 1, -1, -1)], group))
     g, x = group[order], x[order]
@@ -147,10 +170,17 @@ def link_groups(group: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarr
         i = i[_bits(x[i] ^ x[i + d]) <= radius]
         labels = merge(labels, i, i + d)
     for b, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-        index = GrayIndex(x[b : b + n])
-        for at in range(0, n, 256):
-            i, j = index.pairs(np.arange(at, min(n, at + 256)), radius)
-            labels = merge(labels, b + i, b + j)
+        if 8 * radius > 64 * x.shape[1]:
+            found = close_pairs(x[b : b + n], radius)
+        else:
+            index = GrayIndex(x[b : b + n])
+            found = (index.pairs(np.arange(at, min(n, at + 256)), radius) for at in range(0, n, 256))
+        local = np.arange(n)
+        for i, j in found:
+            new = local[i] != local[j]
+            if new.any():
+                local = merge(local, i[new], j[new])
+        labels[b : b + n] = b + local
     tied = np.flatnonzero(labels != np.arange(len(g)))
     return order[tied], order[labels[tied]]
 
@@ -213,18 +243,17 @@ def _linked(lanes: int, radius: int):
     return run
 
 
-def bands_for(lanes: int, radius: int, rows: int, exact: bool) -> list[tuple[int, int]]:
+def bands_for(lanes: int, radius: int, exact: bool) -> list[tuple[int, int]]:
     """Bit ranges of which two linked fingerprints share one.
 
-    exact: radius + 1 equal ranges of all bits, so none is missed. Else as many ranges as fit,
-    each wide enough for a handful of unlike rows per key (16 to 32 bits, growing with the rows).
+    exact: radius + 1 equal ranges of all bits, so none is missed. Else as many ranges of
+    BAND_BITS as fit: narrow enough that few links are missed, however many rows there are.
     """
     total = 64 * lanes
     if exact:
         cut = [total * k // (radius + 1) for k in range(radius + 2)]
         return [(a, min(32, b - a)) for a, b in zip(cut, cut[1:], strict=False)]
-    bits = int(min(32, max(16, ceil(log2(max(2, rows))) - 2)))
-    return [(a, bits) for a in range(0, total - bits + 1, bits)]
+    return [(a, BAND_BITS) for a in range(0, total - BAND_BITS + 1, BAND_BITS)]
 
 
 def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: bool = True) -> DataFrame:
@@ -238,7 +267,7 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
     nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = nodes.where("rep is not null")
     rows = known.count()
-    bands = bands_for(lanes, radius, rows, exact)
+    bands = bands_for(lanes, radius, exact)
     dealt = known.mapInArrow(_bands(lanes, bands), "band int, key long, fp binary, rep long")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max(1000, min(200_000, rows * len(bands) // (8 * partitions)))

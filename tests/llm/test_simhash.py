@@ -119,3 +119,39 @@ def test_odd_rows_stay_whole(odd, none):
     kept = S.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and S.drop_near_duplicates(none).count() == 0
     assert {1, 3, 5, 6, 8, 9} <= {r.doc_id for r in kept.collect()}
+
+
+def near_prints(rng, pairs, lanes=8):
+    """Fingerprints of pairs of shingle sets with a Jaccard similarity of 0.8: 160 of 200 shared."""
+    out = []
+    for _ in range(pairs):
+        h = rng.integers(0, 2**64, 200, dtype=np.uint64)
+        for own in (h[:180], h[20:]):
+            out.append([S.majority_bits(S._lane(own, lane), np.array([180]))[0] for lane in range(lanes)])
+    return np.array(out, dtype=np.uint64)
+
+
+def brute_pairs(x, radius):
+    return np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None]).sum(-1) <= radius, 1))
+
+
+def test_wide_radius_compares_every_pair():
+    x = near_prints(np.random.default_rng(5), 150)
+    radius = S.radius_for(0.8, 8)
+    row, root = S.link_groups(np.zeros(len(x), int), x, radius)
+    i, j = brute_pairs(x, radius)
+    assert len(i) > 40 and np.array_equal(graph.merge(np.arange(len(x)), row, root), graph.merge(np.arange(len(x)), i, j))
+
+
+def test_recall_does_not_fall_with_the_row_count(spark, monkeypatch):
+    """Near pairs share a cell at the band width of 30 GB (12 million fingerprints) as brute force finds them."""
+    x = near_prints(np.random.default_rng(6), 400)
+    radius = S.radius_for(0.8, 8)
+    rows = [(i, v.astype(">u8").tobytes()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, fp binary")
+    count = type(df).count
+    monkeypatch.setattr(type(df), "count", lambda self: 12_000_000 if self.columns == ["fp", "rep"] else count(self))
+    out = {bytes(r.fp): r.component for r in S.near_components(df, 8, radius, False).collect()}
+    i, j = brute_pairs(x, radius)
+    found = [out[rows[a][1]] == out[rows[b][1]] for a, b in zip(i, j, strict=True)]
+    assert len(found) > 150 and np.mean(found) >= 0.98
