@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import BROADCAST_ROWS, by_bytes, keep, lookup, small_batches, utf8_buffer
 from .urls import url_parts
 
-#: Labelled rows per language, and languages, that the text model is fitted on at most.
+#: Labelled rows per language that the text model is fitted on; beyond LANGUAGES they share the rows of so many, LEAST_ROWS each at least.
 ROWS_PER_LANGUAGE = 400
 LANGUAGES = 64
+LEAST_ROWS = 25
 BITS = 16
 #: Trigrams that a text counts for at most: neighbours are not independent.
 EVIDENCE = 50.0
@@ -111,19 +112,20 @@ def fuse(scored: DataFrame, languages: list[str], threshold: float) -> DataFrame
 
 
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TrigramModel:
-    """Trigram tables from about ROWS_PER_LANGUAGE labelled rows of each of the LANGUAGES most frequent labels.
+    """Trigram tables of every label, from about ROWS_PER_LANGUAGE rows of each (fewer beyond LANGUAGES labels).
 
     A row is taken if a hash of its id falls below its language's share, so the sample is
     the same at every run; it is the only text that reaches the driver.
     """
     label = F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), label.alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(ROWS_PER_LANGUAGE / r["count"])).otherwise(share)
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return TrigramModel.fit([], [])
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, ROWS_PER_LANGUAGE * LANGUAGES // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], each / r["count"])])[F.col("lang")]
     unit = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
-    seen = rows.where(unit < share).select("lang", "text").limit(2 * ROWS_PER_LANGUAGE * LANGUAGES).collect()
+    seen = rows.where(unit < share).select("lang", "text").limit(2 * max(ROWS_PER_LANGUAGE * LANGUAGES, each * len(counts))).collect()
     return TrigramModel.fit([r["text"].encode() for r in seen], [r["lang"] for r in seen])
 
 

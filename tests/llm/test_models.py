@@ -77,6 +77,13 @@ def test_language(spark):
     assert all(out[r.doc_id].language == r.lang and out[r.doc_id].accepted for r in docs.collect())
 
 
+def test_every_label_is_fitted(spark):
+    """More labels than LANGUAGES, the last of them the rarest."""
+    rows = [(100 * k + i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * 9, f"l{k:02}") for k in range(70) for i in range(1 + (k < 69))]
+    model = langid.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:02}" for k in range(70)] + ["und"]
+
+
 def test_a_short_text_follows_its_host(spark):
     docs = _docs(spark).unionByName(spark.createDataFrame([(900, "a", None, "yy.host"), (901, "a", None, "zz.host")], "doc_id long, text string, lang string, source string"))
     out = {r.doc_id: r.language for r in langid.identify_documents(docs).collect()}
