@@ -153,13 +153,14 @@ def declared(text: Column) -> Column:
     return F.when(text.contains("<html") & (tag != ""), tag)
 
 
-def identify_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def identify_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Language of every document: (doc_id, language, confidence, trigrams, accepted).
 
     The text model learns from the ``lang`` column of a bounded sample; a row's own ``lang``
     is no evidence for it. The source is the host; markup counts where a text holds an html
     tag. Rejected are texts without letters, texts whose trigrams fit no language better
-    than chance (``und``), and posteriors below the threshold.
+    than chance (``und``), and posteriors below the threshold. Answers carry ``row_col`` for
+    an id if one is given.
 
     Defined cases: null and empty texts are rejected as ``und``; rows without source take the
     corpus' prior; with no labelled row every text is ``und``; repeated rows get one answer
@@ -168,7 +169,7 @@ def identify_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "d
     model = fit_text_model(docs, text_col, lang_col, id_col)
     text = F.col(text_col).cast("string")
     null = F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.col(source_col).cast("string").alias("host"), null.alias("domain"), null.alias("suffix"), declared(text).alias("markup"))
+    rows = docs.select(F.col(row_col or id_col).cast("long").alias("id"), text.alias("text"), F.col(source_col).cast("string").alias("host"), null.alias("domain"), null.alias("suffix"), declared(text).alias("markup"))
     return identify(rows, model, threshold).withColumnRenamed("id", "doc_id")
 
 
@@ -187,11 +188,15 @@ def identify_pages(pages: DataFrame, docs: DataFrame, threshold: float = 0.5) ->
     return identify(rows, model, threshold).withColumnRenamed("id", "page_id")
 
 
-def accepted_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The documents whose language is accepted, all columns kept; a row without an id goes or stays with the others without one."""
-    found = identify_documents(docs, threshold, id_col, **columns)
-    gone = keep(found.where(~F.col("accepted")).select("doc_id").distinct())
-    right = gone.withColumnRenamed("doc_id", "_gone")
-    if gone.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return docs.join(right, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+def accepted_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents whose language is accepted, all columns kept.
+
+    Each row is judged by itself, under a hash of its id, text and source: rows that share
+    an id, or have none, do not go with one another.
+    """
+    parts = [F.col(c).cast("string") for c in (id_col, text_col, source_col)]
+    rows = docs.withColumn("_judged", F.xxhash64(*parts, *[c.isNull() for c in parts]))
+    found = identify_documents(rows, threshold, id_col, text_col, lang_col, source_col, "_judged")
+    gone = keep(found.where(~F.col("accepted")).select(F.col("doc_id").alias("_gone")).distinct())
+    right = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(right, rows["_judged"] == F.col("_gone"), "left_anti").drop("_judged")

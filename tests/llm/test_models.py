@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from framequorum.llm import langid, toxicity, urls
 
@@ -112,6 +112,14 @@ def test_language_of_odd_rows(odd, none):
     assert {r.language for r in langid.identify_documents(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_rejected_row_takes_no_other_with_it(spark):
+    clean = _docs(spark)
+    more = [(None, clean.first().text, "xx", "xx.host"), (None, "", None, None), (1, "", None, None), (1, "12 34", None, "yy.host")]
+    kept = langid.accepted_documents(clean.unionByName(spark.createDataFrame(more, clean.schema)))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [*clean.collect(), Row(**dict(zip(clean.columns, more[0], strict=True)))]))
+    assert kept.where("doc_id is null").count() == 1
+
+
 URLS = {
     "http://a.net": ("a.net", "", None), "http://A.Example.NET/en/x?y": ("a.example.net", "/en/x", "example.net/en/"), "x://net/": ("net", "/", "net/"), "http://example.com/de/1": ("example.com", "/de/1", "example.com/de/"),
     "http://anet/": ("anet", "/", None), "https://b.org/fr/": ("b.org", "/fr/", "org/fr/"), "https://b.org/en/#://c.net/": ("b.org", "/en/", None), "nothing": ("", "", None), "": ("", "", None), "http://h?p://x/": ("h", "", None), "http://É.org/fr/a\nb": ("É.org", "/fr/a\nb", "org/fr/"),
