@@ -11,9 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import keep, lookup
+
 #: The rules a url is judged by (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Rows that the classifier is fitted on at most.
+#: Distinct urls that the classifier is fitted on at most.
 TRAIN_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "marks", "longest_label", "secure", "suffix_1_rate", "suffix_1_seen", "suffix_2_rate", "suffix_2_seen")
@@ -74,11 +76,12 @@ class SuffixRates:
 
     def of(self, host: str, without: int | None = None) -> list[float]:
         """Rates and counts of both suffixes; without: the label of a training row to leave out."""
+        counts = [self.counts.get(s, (0, 0)) for s in suffixes(host)]
+        return self.smoothed([(n - 1, k - without) if without is not None and n else (n, k) for n, k in counts])
+
+    def smoothed(self, counts) -> list[float]:
         out, rate = [], self.prior
-        for s in suffixes(host):
-            n, k = self.counts.get(s, (0, 0))
-            if without is not None and n:
-                n, k = n - 1, k - without
+        for n, k in counts:
             rate = (k + self.weight * rate) / (n + self.weight)
             out += [rate, float(np.log1p(n))]
         return out
@@ -162,17 +165,26 @@ class UrlModel:
         x = np.array([lexical(u, h, p) + rates.of(h, y) for (u, h, p), y in zip(urls, blocked, strict=True)], dtype=np.float64).reshape(len(urls), len(FEATURES))
         return cls(rates, BoostedTrees().fit(x, np.array(blocked, dtype=np.float64)))
 
-    def block_probability(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
-        x = np.array([lexical(u, h, p) + self.rates.of(h) for u, h, p in urls], dtype=np.float64).reshape(len(urls), len(FEATURES))
+    @classmethod
+    def fit_counted(cls, urls: list[tuple[str, str, str]], blocked: list[int], copies: list[int], counts, prior: float) -> UrlModel:
+        """counts: (rows, blocked rows) of both suffixes of each url; its own copies are left out."""
+        rates = SuffixRates(prior=prior)
+        others = [[(n - c, k - c * y) for n, k in pair] for pair, c, y in zip(counts, copies, blocked, strict=True)]
+        x = np.array([lexical(*u) + rates.smoothed(o) for u, o in zip(urls, others, strict=True)], dtype=np.float64).reshape(len(urls), len(FEATURES))
+        return cls(rates, BoostedTrees().fit(x, np.array(blocked, dtype=np.float64)))
+
+    def block_probability(self, urls: list[tuple[str, str, str]], counts=None) -> np.ndarray:
+        known = [self.rates.of(h) for _, h, _ in urls] if counts is None else [self.rates.smoothed(pair) for pair in counts]
+        x = np.array([lexical(*u) + r for u, r in zip(urls, known, strict=True)], dtype=np.float64).reshape(len(urls), len(FEATURES))
         return 1 / (1 + np.exp(-self.trees.logits(x)))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """A verdict for every url: its longest rule's, else the boosted trees'.
 
-    The trees learn from urls that a rule decides, at most ``train_rows`` of them, taken in
-    the order of a hash of the url (the bound of what reaches the driver); suffix rates come
-    from the same rows. Rules and parts stay DataFrame expressions; only urls reach Python.
+    The trees learn from distinct urls that a rule decides, at most ``train_rows`` of them,
+    taken in the order of a hash of the url (the bound of what reaches the driver); suffix
+    rates come from a grouped aggregation over all decided rows. Rules and parts stay DataFrame expressions; only urls reach Python.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path and is
     judged by the trees; with no decided url, or one kind only, the trees give that base
@@ -184,13 +196,26 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_told": verdict})
-    seen = rows.where(F.col("_told").isNotNull()).orderBy(F.xxhash64("_url"), "_url").limit(train_rows).select("_url", "host", "path", "_told").collect()
-    model = UrlModel.fit([(r["_url"], r["host"], r["path"]) for r in seen], [int(r["_told"] == "block") for r in seen])
+    ends = [F.substring_index("host", ".", -k) for k in (1, 2)]
+    decided = rows.where(F.col("_told").isNotNull()).withColumn("_y", (F.col("_told") == "block").cast("long"))
+    counts = decided.select(F.explode(F.array_distinct(F.array(*ends))).alias("_suffix"), "_y").groupBy("_suffix").agg(F.count("*").alias("n"), F.sum("_y").alias("k"))
+    counts = keep(counts.select("_suffix", F.struct("n", "k").alias("_seen")))
+    prior = decided.agg(F.avg("_y")).first()[0]
+
+    def counted(df: DataFrame) -> DataFrame:
+        for k, end in enumerate(ends, 1):
+            df = lookup(df.withColumn(f"_end{k}", end), counts.select(F.col("_suffix").alias(f"_end{k}"), F.col("_seen").alias(f"_seen{k}")), f"_end{k}").drop(f"_end{k}")
+        return df.withColumns({f"_{c}{k}": F.coalesce(F.col(f"_seen{k}.{c}"), F.lit(0)) for k in (1, 2) for c in "nk"}).drop("_seen1", "_seen2")
+
+    sample = decided.groupBy("_url", "host", "path", "_y").agg(F.count("*").alias("_copies")).orderBy(F.xxhash64("_url"), "_url").limit(train_rows)
+    seen = counted(sample).orderBy(F.xxhash64("_url"), "_url").collect()
+    model = UrlModel.fit_counted([(r["_url"], r["host"], r["path"]) for r in seen], [r["_y"] for r in seen], [r["_copies"] for r in seen], [((r["_n1"], r["_k1"]), (r["_n2"], r["_k2"])) for r in seen], 0.5 if prior is None else prior)
 
     @F.pandas_udf("double")
-    def judged(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series(model.block_probability(list(zip(url.fillna(""), host, path, strict=True))))
+    def judged(url: pd.Series, host: pd.Series, path: pd.Series, n1: pd.Series, k1: pd.Series, n2: pd.Series, k2: pd.Series) -> pd.Series:
+        pairs = list(zip(zip(n1, k1, strict=True), zip(n2, k2, strict=True), strict=True))
+        return pd.Series(model.block_probability(list(zip(url.fillna(""), host, path, strict=True)), pairs))
 
-    rows = rows.withColumn("block_score", judged("_url", "host", "path"))
+    rows = counted(rows).withColumn("block_score", judged("_url", "host", "path", "_n1", "_k1", "_n2", "_k2"))
     told = F.coalesce("_told", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", told.alias("verdict"), F.round("block_score", 6).alias("block_score"))

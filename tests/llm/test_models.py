@@ -137,6 +137,16 @@ def test_url_rules(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """One url, repeated beyond the bound, with the lowest hash of all: the trees still see both kinds."""
+    two = [f"http://a{i}.net/" for i in range(30)] + [f"http://b{i}.org/fr/" for i in range(30)]
+    low = spark.createDataFrame([(u,) for u in two], "url string").orderBy(F.xxhash64("url")).first().url
+    rows = [*two, *[low] * 60, "http://c.net", "http://c.org/en/"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    out = {r.page_id: r for r in urls.filter_urls(df, train_rows=50).collect()}
+    assert len(out) == len(rows) and (out[120].verdict, out[121].verdict) == ("block", "allow")
+
+
 def test_trees_learn_what_no_single_feature_tells():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 5))
