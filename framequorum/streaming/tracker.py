@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import TrackRules
 from ..operators.assign import match
 
+# The motion model and noise of the tracker whose results these must equal.
 MOTION = np.eye(7) + np.diag([1.0, 1.0, 1.0], 4)
 SEEN = np.eye(4, 7)
 START_NOISE = np.diag([10.0] * 4 + [1e4] * 3)
 MOTION_NOISE = np.diag([1.0] * 4 + [0.01, 0.01, 1e-4])
 SEEN_NOISE = np.diag([1.0, 1.0, 10.0, 10.0])
 OUT = "video_id long, frame_index long, track_id long, x1 int, y1 int, x2 int, y2 int, confidence double, class_id int, hits int, age int"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
 def to_state(box: np.ndarray) -> np.ndarray:
@@ -93,29 +95,35 @@ class Tracker:
         return out
 
 
+def _steps(tracker: Tracker, video: int, rows: pd.DataFrame) -> list[tuple]:
+    """Output rows of a video's next frames; rows come in order of frame and ord."""
+    out = []
+    for frame, part in rows.groupby("frame_index", sort=True):
+        real = part[part["x1"].notna()]
+        shown = tracker.step(real[["x1", "y1", "x2", "y2"]].to_numpy(float), real["confidence"].to_numpy(float), real["class_id"].to_numpy())
+        out += [(video, int(frame), t.number, *np.rint(to_box(t.x)).astype(int).tolist(), t.confidence, t.class_id, t.hits, t.age) for t in shown]
+    return out
+
+
 def _track_video(rules: TrackRules):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(rules), []
-        rows = rows.sort_values(["frame_index", "ord"], kind="stable")
-        for frame, part in rows.groupby("frame_index", sort=True):
-            real = part[part["x1"].notna()]
-            shown = tracker.step(real[["x1", "y1", "x2", "y2"]].to_numpy(float), real["confidence"].to_numpy(float), real["class_id"].to_numpy())
-            for t in shown:
-                b = np.rint(to_box(t.x)).astype(int)
-                out.append((key[0], frame, t.number, *b.tolist(), t.confidence, t.class_id, t.hits, t.age))
-        return pd.DataFrame(out, columns=["video_id", "frame_index", "track_id", "x1", "y1", "x2", "y2", "confidence", "class_id", "hits", "age"])
+        return pd.DataFrame(_steps(Tracker(rules), key[0], rows.sort_values(["frame_index", "ord"], kind="stable")), columns=COLUMNS)
 
     return run
 
 
+def _wanted(detections: DataFrame, rules: TrackRules) -> DataFrame:
+    """Detections of the wanted classes, and the rows that stand for frames without detections."""
+    return detections.where(F.col("class_id").isin(*rules.classes) | F.col("x1").isNull()) if rules.classes else detections
+
+
 def track(detections: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
     """Confirmed tracks per frame. A video is one ordered state and so one group; videos run in parallel.
 
     detections: video_id, frame_index, ord, x1..y2, confidence, class_id; a frame without
     detections is a row with null corners, or is not counted as processed.
     """
-    rows = detections.where(F.col("class_id").isin(*rules.classes) | F.col("x1").isNull()) if rules.classes else detections
-    return rows.groupBy("video_id").applyInPandas(_track_video(rules), OUT)
+    return _wanted(detections, rules).groupBy("video_id").applyInPandas(_track_video(rules), OUT)
 
 
 def untracked(detections: DataFrame) -> DataFrame:
@@ -129,32 +137,26 @@ def untracked(detections: DataFrame) -> DataFrame:
 def stream_function(rules: TrackRules = TrackRules()):
     """State function for ``applyInPandasWithState``: a pickled tracker per video, frames of a batch in order.
 
-    Frames at or before the last one processed are late and dropped; a video without rows
-    for the timeout loses its state.
+    Frames at or before the last one processed are late and dropped. A track goes after
+    ``max_age`` processed frames without it, as in ``track``; wall time plays no part, and the
+    state that stays (live tracks and the next number) does not grow with the video.
     """
     import pickle
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(rules), -1)
-        rows = pd.concat(list(parts)).sort_values(["frame_index", "ord"], kind="stable")
-        out = []
-        for frame, part in rows[rows["frame_index"] > last].groupby("frame_index", sort=True):
-            shown = tracker.step(part[["x1", "y1", "x2", "y2"]].to_numpy(float), part["confidence"].to_numpy(float), part["class_id"].to_numpy())
-            out += [(key[0], int(frame), t.number, *np.rint(to_box(t.x)).astype(int).tolist(), t.confidence, t.class_id, t.hits, t.age) for t in shown]
-            last = int(frame)
-        state.update((pickle.dumps((tracker, last)),))
-        state.setTimeoutDuration(600_000)
-        yield pd.DataFrame(out, columns=["video_id", "frame_index", "track_id", "x1", "y1", "x2", "y2", "confidence", "class_id", "hits", "age"])
+        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(rules), None)
+        rows = pd.concat([p for p in parts if len(p)]).sort_values(["frame_index", "ord"], kind="stable")
+        if last is not None:
+            rows = rows[rows["frame_index"] > last]
+        out = _steps(tracker, key[0], rows)
+        state.update((pickle.dumps((tracker, last if rows.empty else int(rows["frame_index"].iloc[-1]))),))
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
 
 def track_stream(detections: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
-    """Streaming form of ``track``."""
+    """Streaming form of ``track``; frames without detections count as processed, as there."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = detections.where(F.col("class_id").isin(*rules.classes)) if rules.classes else detections
-    return rows.groupBy("video_id").applyInPandasWithState(stream_function(rules), OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _wanted(detections, rules).groupBy("video_id").applyInPandasWithState(stream_function(rules), OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
