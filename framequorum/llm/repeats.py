@@ -1,4 +1,15 @@
-"""Suffix-array deduplication: bytes of long strings that also start earlier are removed."""
+"""Suffix-array deduplication: bytes of long strings that also start earlier are removed.
+
+A window of LENGTH bytes is dealt by its least gram (its anchor), so equal windows meet
+wherever they are. Runs of windows with one anchor are segments. Hashes only tell which
+segments may share a window with another; the bytes of those go to shards, where equal ones
+are compared byte by byte and the others are sorted by their suffixes.
+
+Hot anchors: a task sends at most FEW segments of an anchor; the rest, and those of all
+anchors that any task has so marked or that have more than HOT, go on by the bytes they
+share around the anchor (cores), counted by a grouped aggregation. Cores with more than HOT
+segments are cut into single windows. Equal bytes are kept once by every task that sends them.
+"""
 
 from __future__ import annotations
 
@@ -9,25 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_bytes, keep, small_batches, utf8_buffer
-from .suffix import sort_suffixes
+from .suffix import Tape, scratch, sorted_suffixes
 
-#: Bytes of a string whose repetition counts; sort_suffixes counts prefixes up to this.
+#: Bytes of a string whose repetition counts; common prefixes are counted up to this.
 LENGTH = 100
-#: Bytes of the grams that anchor windows, and of those that split what an anchor shares with very many.
-GRAM, FINE_GRAM = 32, 96
-#: Distinct segments of one anchor value from which on they are split by finer grams.
-HOT = 500
+#: Bytes of the grams that anchor windows.
+GRAM = 32
+#: Windows of an anchor that share a core, by how far they begin before it: the bytes all of them have.
+STEP = 18
+CORES = -(-(LENGTH - GRAM + 1) // STEP)
+#: Different segments of an anchor that a slice sends by the anchor; more go by their cores.
+FEW = 8
+#: Segments of an anchor, or of a core, from which on they are split.
+HOT = 1000
 SLICE = 1 << 20
 POSITION_BITS = 22
-BUCKET_SEGMENTS = 150_000
-SHARD_BYTES = 384 << 10
+BUCKET_SEGMENTS = 100_000
+SHARD_BYTES = 512 << 10
+#: Bytes of pieces that a task compares before it sends them.
+HELD = 4 << 20
 NO_ID = -(2**63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
-ENTRY = np.dtype([("value", "<u8"), ("content", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("windows", "<u4"), ("multi", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("length", "<u4")])
+ENTRY = np.dtype([("value", "<u8"), ("core", "<u4", (CORES,)), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("reach", "u1"), ("windows", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("length", "<u4")])
+PIECE = np.dtype([("key", "<i8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("length", "<u4")])
+PLACE = ["doc", "text", "start"]
+#: What a row of decisions says.
+IS_SPAN, IS_PIECE, IS_CORE = 0, 1, 2
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,106 +82,193 @@ class Hashed:
         return _mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
 
 
-def segments(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: int) -> dict[str, np.ndarray]:
-    """Maximal runs of windows of LENGTH bytes that share their least gram hash.
+def segments(h: Hashed, begin: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """Maximal runs of windows of LENGTH bytes with the same anchor: their first least gram.
 
-    data is cut into texts [begin, end); windows stay within one. A window's least gram is
-    found by its bytes alone, so equal windows have equal values wherever they are, and one
-    place for each value sees all of them. Returned per segment: text, first window, number
-    of windows, value, the anchor gram's position, and whether its value occurs again there.
+    The hashed data is cut into texts [begin, end); windows stay within one. A window's anchor
+    is found by its bytes alone, so equal windows have equal anchors, at the same distance.
+    Returned per segment: text, first window, number of windows, anchor hash and position.
     """
-    n, width = len(data), LENGTH - gram + 1
+    n, width = len(h.sums) - 1, LENGTH - GRAM + 1
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return {"text": empty, "start": empty, "windows": empty, "value": empty.astype(np.uint64), "anchor": empty, "multi": empty.astype(bool)}
+        return {"text": empty, "start": empty, "windows": empty, "value": empty.astype(np.uint64), "anchor": empty}
     low = np.uint64((1 << POSITION_BITS) - 1)
-    least = Hashed(data).grams(gram) & ~low | np.arange(n - gram + 1, dtype=np.uint64)
+    least = h.grams(GRAM)
+    least &= ~low
+    least |= np.arange(n - GRAM + 1, dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    value = least >> np.uint64(POSITION_BITS)
     there = np.zeros(len(least) + 1, np.int32)
     long = end - begin >= LENGTH
     np.add.at(there, begin[long], 1)
     np.add.at(there, end[long] - LENGTH + 1, -1)
     there = np.cumsum(there[:-1]) > 0
-    new = np.r_[True, value[1:] != value[:-1]] | np.r_[True, ~there[:-1]]
+    new = np.r_[True, least[1:] != least[:-1]] | np.r_[True, ~there[:-1]]
     start = np.flatnonzero(there & new)
     stop = np.flatnonzero(there & np.r_[new[1:] | ~there[1:], True]) + 1
-    moved = np.r_[0, np.cumsum(least[1:] != least[:-1])]
-    return {"text": np.searchsorted(begin, start, side="right") - 1, "start": start, "windows": stop - start, "value": value[start], "anchor": (least[start] & low).astype(np.int64), "multi": moved[stop - 1] != moved[start]}
+    chosen = least[start]
+    return {"text": np.searchsorted(begin, start, side="right") - 1, "start": start, "windows": stop - start, "value": chosen >> np.uint64(POSITION_BITS), "anchor": (chosen & low).astype(np.int64)}
 
 
-def _entries(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, crc: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Segments of some texts as ENTRY rows; offset: where each text begins in its document."""
-    s = segments(data, begin, end, GRAM)
-    out = np.zeros(len(s["start"]), ENTRY)
-    if not len(out):
-        return out
+def _core_windows(first: np.ndarray, reach: np.ndarray, windows: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a segment has windows of a core, the first of them, how many); reach: how far its first window begins before the anchor."""
+    far = np.minimum(reach, min(STEP * core + STEP - 1, LENGTH - GRAM))
+    near = np.maximum(reach - windows + 1, STEP * core)
+    return far >= near, first + reach - far, far - near + 1
+
+
+def _entries(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, text: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ENTRY rows, first bytes, content hashes) of the segments of some texts; offset: where each begins in its document."""
     h = Hashed(data)
-    first, last = s["start"], s["start"] + s["windows"] + LENGTH - 1
-    side = (LENGTH - GRAM) // 2
-    anchor = s["anchor"]
-    out["value"], out["content"] = s["value"], h.of(first, last)
-    reach = anchor - side
-    ok = reach >= first
-    out["left"][ok] = (h.of(reach[ok], anchor[ok] + GRAM) | np.uint64(1)).astype(np.uint32)
-    reach = anchor + GRAM + side
-    ok = reach <= last
-    out["right"][ok] = (h.of(anchor[ok], reach[ok]) | np.uint64(1)).astype(np.uint32)
-    text = s["text"]
-    out["doc"], out["crc"] = doc[text], crc[text]
-    out["start"], out["windows"], out["multi"] = first - begin[text] + offset[text], s["windows"], s["multi"]
+    s = segments(h, begin, end)
+    first, windows, anchor = s["start"], s["windows"], s["anchor"]
+    out = np.zeros(len(first), ENTRY)
+    if not len(out):
+        return out, first, s["value"]
+    reach = anchor - first
+    for core in range(CORES):
+        has, _, _ = _core_windows(first, reach, windows, core)
+        at = anchor[has] - STEP * core
+        stop = anchor[has] - min(STEP * core + STEP - 1, LENGTH - GRAM) + LENGTH
+        out["core"][has, core] = (h.of(at, stop) | np.uint64(1)).astype(np.uint32)
+    of = s["text"]
+    out["value"], out["doc"], out["text"] = s["value"], doc[of], text[of]
+    out["start"], out["reach"], out["windows"] = first - begin[of] + offset[of], reach, windows
+    return out, first, h.of(first, first + windows + LENGTH - 1)
+
+
+def _flat(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions of all bytes of some ranges."""
+    return np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
+
+
+def _blocks(length: np.ndarray, most: int = 1 << 20):
+    """Slices of rows with about ``most`` bytes in all."""
+    ends = np.cumsum(length)
+    at = 0
+    while at < len(length):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two ranges are the same, pair by pair."""
+    out = np.zeros(len(a), bool)
+    for part in _blocks(length):
+        n = length[part]
+        same = data[_flat(a[part], n)] == data[_flat(b[part], n)]
+        out[part] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
+def _content(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of short ranges."""
+    power, _ = _powers(SLICE + (64 << 10))
+    out = np.zeros(len(begin), np.uint64)
+    for part in _blocks(length):
+        n = length[part]
+        first = np.cumsum(n) - n
+        out[part] = _mixed(np.add.reduceat((data[_flat(begin[part], n)].astype(np.uint64) + np.uint64(1)) * power[_flat(np.zeros(len(n), np.int64), n)], first) + n.astype(np.uint64))
+    return out
+
+
+def _collapsed(rows: np.ndarray, key: str, data: np.ndarray, begin: np.ndarray, length: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the rows that are the first with their bytes, in order of key; spans of those that repeat an earlier place).
+
+    Equal hashes are not believed: the bytes are compared. Rows of one place are one.
+    """
+    order = np.lexsort((rows["start"], rows["text"], rows["doc"], length, content, rows[key]))
+    k, c, n = rows[key][order], content[order], length[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+    at = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    again = np.flatnonzero(~new)
+    if len(again):
+        same = _equal(data, begin[order[again]], begin[order[at[again]]], n[again])
+        new[again[~same]] = True
+        again = again[same]
+    late, head = rows[order[again]], rows[order[at[again]]]
+    later = np.any([late[c] != head[c] for c in PLACE], axis=0) if len(again) else np.zeros(0, bool)
+    return order[new], _spans(late[later]["doc"], late[later]["text"], late[later]["start"], n[again][later])
+
+
+def _spans(doc: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """SPAN rows; spans of a document that touch are one."""
+    order = np.lexsort((start, text, doc))
+    doc, text, start = doc[order], text[order], start[order].astype(np.int64)
+    end = start + length[order]
+    if not len(doc):
+        return np.zeros(0, SPAN)
+    other = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]
+    # The furthest end so far within the document: ends grow by an offset for each document.
+    shift = (np.cumsum(other) - 1) * (int(end.max()) + 1)
+    far = np.maximum.accumulate(end + shift) - shift
+    new = other | np.r_[True, start[1:] > far[:-1]]
+    at = np.flatnonzero(new)
+    out = np.zeros(len(at), SPAN)
+    out["doc"], out["text"], out["start"] = doc[at], text[at], start[at]
+    out["length"] = far[np.r_[at[1:], len(doc)] - 1] - start[at]
     return out
 
 
-def _collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each distinct segment, spans of its later repetitions). e comes back in order of value and content."""
-    e = e[np.lexsort((e["start"], e["crc"], e["doc"], e["windows"], e["content"], e["value"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["value"][1:] != e["value"][:-1]) | (e["content"][1:] != e["content"][:-1]) | (e["windows"][1:] != e["windows"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
-    place = ["doc", "crc", "start"]
-    later = ~new & np.any([e[c] != e[c][head] for c in place], axis=0)
-    again = e[later]
-    spans = np.zeros(len(again), SPAN)
-    for c in place:
-        spans[c] = again[c]
-    spans["length"] = again["windows"] + LENGTH - 1
-    return e[new], spans
-
-
-def _texts(batch: pa.RecordBatch):
-    """Slices of at most SLICE bytes of a batch of (doc, crc, text); a longer text goes in pieces that share LENGTH - 1 bytes."""
+def _texts(batch: pa.RecordBatch, most: int):
+    """Slices of at most ``most`` bytes of a batch of (doc, text hash, text); a longer text goes in pieces that share LENGTH - 1 bytes."""
     raw, ends = utf8_buffer(batch.column(2))
-    doc, crc = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
-    for i in range(batch.num_rows if batch.num_rows == 1 and len(raw) > SLICE else 0):
-        for at in range(0, len(raw), SLICE):
-            yield raw[at : at + SLICE + LENGTH - 1], np.zeros(1, np.int64), np.array([min(len(raw) - at, SLICE + LENGTH - 1)]), doc, crc, np.array([at])
+    doc, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    for i in range(batch.num_rows if batch.num_rows == 1 and len(raw) > most else 0):
+        for at in range(0, len(raw), most):
+            yield raw[at : at + most + LENGTH - 1], np.zeros(1, np.int64), np.array([min(len(raw) - at, most + LENGTH - 1)]), doc, text, np.array([at])
         return
-    yield raw, ends[:-1], ends[1:], doc, crc, np.zeros(len(doc), np.int64)
+    yield raw, ends[:-1], ends[1:], doc, text, np.zeros(len(doc), np.int64)
+
+
+def _packed(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    """Blobs of rows by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    data = [rows[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int8)), pa.array(data, pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _deal(buckets: int):
-    """Blobs of distinct segments by bucket of their value, and of spans already known (bucket below 0)."""
+def _counts(key: np.ndarray) -> np.ndarray:
+    """How many rows have each row's key; equal keys stand together."""
+    new = np.r_[True, key[1:] != key[:-1]]
+    at = np.flatnonzero(new)
+    return np.diff(np.r_[at, len(key)])[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
 
-    def blobs(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(key, kind="stable")
-        key, rows = key[order], rows[order]
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        data = [rows[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(key)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key[cuts].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "blob"])
+
+def _spread(rows: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed((rows["text"] ^ rows["doc"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _deal(buckets: int, few: int, size: int):
+    """Blobs of different segments by bucket of their anchor, of those of frequent anchors by nothing, and of spans already known."""
 
     def run(batches):
-        for batch in by_bytes(batches, "text", SLICE, 20_000):
-            for part in _texts(batch):
-                firsts, spans = _collapsed(_entries(*part))
-                if len(firsts):
-                    yield blobs((firsts["value"] % np.uint64(buckets)).astype(np.int64), firsts)
+        for batch in by_bytes(batches, "text", size, 20_000):
+            for part in _texts(batch, size):
+                rows, first, content = _entries(*part)
+                if not len(rows):
+                    continue
+                firsts, spans = _collapsed(rows, "value", part[0], first, rows["windows"].astype(np.int64) + LENGTH - 1, content)
+                rows = rows[firsts]
+                frequent = _counts(rows["value"]) > few
+                sent = rows[~frequent]
+                if frequent.any():
+                    value = np.unique(rows["value"][frequent])
+                    marks = np.zeros(len(value), ENTRY)
+                    marks["value"] = value
+                    sent = np.concatenate([sent, marks])
+                    yield _packed(_spread(rows[frequent], buckets), IS_CORE, rows[frequent])
+                yield _packed((sent["value"] % np.uint64(buckets)).astype(np.int64), IS_PIECE, sent)
                 if len(spans):
-                    yield blobs(-1 - (spans["crc"].astype(np.int64) % buckets), spans)
+                    yield _packed(_spread(spans, buckets), IS_SPAN, spans)
 
     return run
 
@@ -181,131 +290,217 @@ def _by_key(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-DECISIONS = "value long, doc long, crc long, start long, length long, hot boolean"
+DECISIONS = "kind byte, key long, doc long, text long, start long, length long"
 
 
-def _decided(value, doc, crc, start, length, hot) -> pa.RecordBatch:
+def _decided(kind: int, key: np.ndarray | None, doc, text, start, length) -> pa.RecordBatch:
     n = len(doc)
-    values = pa.nulls(n, pa.int64()) if value is None else pa.array(value.astype(np.int64))
-    hots = pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot)
-    return pa.RecordBatch.from_arrays([values, *(pa.array(x.astype(np.int64)) for x in (doc, crc, start, length)), hots], names=["value", "doc", "crc", "start", "length", "hot"])
-
-
-def _shares(value: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Rows whose side hash another distinct segment of the same value has too (0: none)."""
-    out = np.zeros(len(value), bool)
-    at = np.flatnonzero(side)
-    order = at[np.lexsort((side[at], value[at]))]
-    v, s = value[order], side[order]
-    same = (v[1:] == v[:-1]) & (s[1:] == s[:-1])
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    keys = pa.nulls(n, pa.int64()) if key is None else pa.array(key.view(np.int64) if key.dtype == np.uint64 else key)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), keys, *(pa.array(x.astype(np.int64)) for x in (doc, text, start, length))], names=["kind", "key", "doc", "text", "start", "length"])
 
 
-def _weigh(batches):
-    """Decisions of a bucket: spans of whole repeated segments, and the segments that must be sorted.
+def _core_rows(e: np.ndarray):
+    """Decisions still to be made: the windows of a segment that share a core, with the core's key."""
+    reach, windows = e["reach"].astype(np.int64), e["windows"].astype(np.int64)
+    for core in range(CORES):
+        has, first, n = _core_windows(e["start"].astype(np.int64), reach, windows, core)
+        part = e[has]
+        if len(part):
+            key = _mixed(part["value"] + _mixed(part["core"][:, core].astype(np.uint64) * np.uint64(CORES) + np.uint64(core)))
+            yield _decided(IS_CORE, key, part["doc"], part["text"], first[has], n[has] + LENGTH - 1)
 
-    Two different segments share a window only if they agree on half of what a window has
-    beside the anchor, on one side of it; so only those that do are sorted.
-    """
-    for table in _by_key(batches, "bucket"):
-        data = b"".join(table.column("blob").to_pylist())
-        if table.column("bucket")[0].as_py() < 0:
-            s = np.frombuffer(data, SPAN)
-            yield _decided(None, s["doc"], s["crc"], s["start"], s["length"], None)
-            continue
-        firsts, s = _collapsed(np.frombuffer(data, ENTRY))
-        if len(s):
-            yield _decided(None, s["doc"], s["crc"], s["start"], s["length"], None)
-        value = firsts["value"]
-        group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
-        with_multi = np.bincount(group, firsts["multi"]) > 0 if len(group) else np.zeros(0, bool)
-        need = _shares(value, firsts["left"]) | _shares(value, firsts["right"]) | with_multi[group]
-        hot = np.bincount(group, need)[group] > HOT if len(group) else need
-        e = firsts[need]
-        if len(e):
-            yield _decided(e["value"], e["doc"], e["crc"], e["start"], e["windows"] + LENGTH - 1, hot[need])
-
-
-def _cut(batches):
-    """Bytes of the segments to be sorted; those of very common anchors go in finer pieces, each with a value of its own."""
-    for batch in batches:
-        raw, ends = utf8_buffer(batch.column(2))
-        docs, crcs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out: list[tuple[int, int, int, int, bytes]] = []
-        for i, wanted in enumerate(batch.column(3).to_pylist()):
-            text = raw[ends[i] : ends[i + 1]]
-            for w in wanted:
-                a, b = w["start"], w["start"] + w["length"]
-                if not w["hot"]:
-                    out.append((w["value"], docs[i], crcs[i], a, text[a:b].tobytes()))
-                    continue
-                s = segments(text[a:b], np.zeros(1, np.int64), np.array([b - a]), FINE_GRAM)
-                for v, p, k in zip(s["value"].tolist(), s["start"].tolist(), s["windows"].tolist(), strict=True):
-                    out.append((v, docs[i], crcs[i], a + p, text[a + p : a + p + k + LENGTH - 1].tobytes()))
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["value", "doc", "crc", "start", "bytes"])
+
+def _weigh(most: int):
+    """Decisions of a bucket: which segments may share a window with another, as they agree on all that some window of theirs has around the anchor."""
+
+    def run(batches):
+        for table in _by_key(batches, "bucket"):
+            kinds = table.column("kind").to_numpy()
+            blobs = table.column("blob").to_pylist()
+            data = {k: b"".join(b for b, kind in zip(blobs, kinds.tolist(), strict=True) if kind == k) for k in (IS_SPAN, IS_PIECE, IS_CORE)}
+            del blobs, table
+            s = np.frombuffer(data[IS_SPAN], SPAN)
+            if len(s):
+                yield _decided(IS_SPAN, None, s["doc"], s["text"], s["start"], s["length"])
+            yield from _core_rows(np.frombuffer(data[IS_CORE], ENTRY))
+            e = np.frombuffer(data[IS_PIECE], ENTRY)
+            if not len(e):
+                continue
+            e = e[np.argsort(e["value"], kind="stable")]
+            group = np.cumsum(np.r_[False, e["value"][1:] != e["value"][:-1]])
+            hot = (np.bincount(group, e["windows"] == 0) > 0)[group] | (_counts(e["value"]) > most)
+            yield from _core_rows(e[hot & (e["windows"] > 0)])
+            e, group = e[~hot], group[~hot]
+            shared = np.zeros(len(e), bool)
+            for core in range(CORES):
+                at = np.flatnonzero(e["core"][:, core])
+                both = group[at].astype(np.uint64) << np.uint64(32) | e["core"][at, core]
+                order = np.argsort(both, kind="stable")
+                same = both[order][1:] == both[order][:-1]
+                shared[at[order[1:][same]]] = True
+                shared[at[order[:-1][same]]] = True
+            e = e[shared]
+            if len(e):
+                yield _decided(IS_PIECE, e["value"], e["doc"], e["text"], e["start"], e["windows"].astype(np.int64) + LENGTH - 1)
+
+    return run
+
+
+def _parcels(shards: int, rows: np.ndarray, data: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+    """Blobs by shard of the key: how many pieces, their rows, and their bytes one after another."""
+    shard = (_mixed(rows["key"].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, rows, begin = shard[order], rows[order], begin[order]
+    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist()
+    length = rows["length"].astype(np.int64)
+    flat = data[_flat(begin, length)]
+    at = np.r_[0, np.cumsum(length)]
+    blobs = [np.array([b - a], "<u4").tobytes() + rows[a:b].tobytes() + flat[at[a] : at[b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), pa.array(np.full(len(cuts), IS_PIECE, np.int8)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def late_windows(pieces: list[bytes]) -> np.ndarray:
-    """For the windows of all pieces (in the order of their documents, one after another): whether an equal one comes before.
+def _cut(shards: int):
+    """Bytes of the segments that must be compared, by shard; those of very common cores window by window. Equal ones go once."""
 
-    Suffixes of the pieces, each closed by a symbol no byte has, are sorted; neighbours with
-    a common prefix of a whole window form an interval, and all but its first place are late.
+    def send(rows: list[np.ndarray], data: list[np.ndarray]):
+        rows_all, data_all = np.concatenate(rows), np.concatenate(data)
+        length = rows_all["length"].astype(np.int64)
+        begin = np.cumsum(length) - length
+        firsts, spans = _collapsed(rows_all, "key", data_all, begin, length, _content(data_all, begin, length))
+        yield _parcels(shards, rows_all[firsts], data_all, begin[firsts])
+        if len(spans):
+            yield _packed(_spread(spans, shards), IS_SPAN, spans)
+
+    def run(batches):
+        held_rows, held_data, size = [], [], 0
+        for batch in by_bytes(batches, "bytes", 1 << 20):
+            raw, ends = utf8_buffer(batch.column(2))
+            lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
+            wanted = lists.flatten()
+            key, start, length, split = (wanted.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            many = np.where(split, length - LENGTH + 1, 1)
+            pick = np.repeat(np.arange(len(key)), many)
+            turn = np.arange(len(pick)) - np.repeat(np.cumsum(many) - many, many)
+            rows = np.zeros(len(pick), PIECE)
+            rows["start"] = start[pick] + turn
+            rows["length"] = np.where(split[pick], LENGTH, length[pick])
+            rows["doc"], rows["text"] = (batch.column(c).to_numpy()[of[pick]] for c in (0, 1))
+            begin = ends[of[pick]] + rows["start"]
+            rows["key"] = key[pick]
+            cut = np.flatnonzero(split[pick])
+            if len(cut):
+                rows["key"][cut] = _content(raw, begin[cut], np.full(len(cut), LENGTH)).view(np.int64)
+            for part in _blocks(rows["length"].astype(np.int64), HELD):
+                held_rows.append(rows[part])
+                held_data.append(raw[_flat(begin[part], rows["length"][part].astype(np.int64))])
+                size += len(held_data[-1])
+                if size >= HELD:
+                    yield from send(held_rows, held_data)
+                    held_rows, held_data, size = [], [], 0
+        if size:
+            yield from send(held_rows, held_data)
+
+    return run
+
+
+def late_windows(text: np.ndarray, chunk: int | None = None) -> np.ndarray:
+    """For each position of a text (its symbols over 0, pieces parted by 0): whether the window there is not the first of its kind.
+
+    Suffixes are read in order; neighbours with a common prefix of a whole window form a
+    group, of which all but the first place are late. The result lies in a scratch file.
     """
-    sizes = np.array([len(p) for p in pieces])
-    text = np.frombuffer(b"\0".join(pieces), np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(sizes + 1) - 1
-    text[ends[:-1]] = 0
-    begin = ends - sizes
-    n = sizes - LENGTH + 1
-    starts = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    order, near = sort_suffixes(text)
-    interval = np.empty(len(text), np.int64)
-    interval[order] = np.cumsum(near < LENGTH)
-    mine = interval[starts]
-    first = np.full(len(text) + 1, len(text), np.int64)
-    np.minimum.at(first, mine, starts)
-    return starts > first[mine]
+    late, first = scratch(len(text), bool), -1
+    for p, near in sorted_suffixes(text, **({"chunk": chunk} if chunk else {})):
+        heads = np.flatnonzero(near < LENGTH)
+        begin = int(heads[0]) if len(heads) else len(p)
+        if begin:
+            least = min(first, int(p[:begin].min()))
+            late[p[:begin]] = late[first] = True
+            late[least] = False
+            first = least
+        if len(heads):
+            least = np.minimum.reduceat(p, heads)
+            late[p[begin:]] = True
+            late[least] = False
+            first = int(least[-1])
+    return late
+
+
+class Shard:
+    """Pieces of one shard: their bytes go to a scratch file as they come, their rows stay."""
+
+    def __init__(self):
+        self.rows: list[np.ndarray] = []
+        self.tape, self.size = Tape(np.uint8), 0
+
+    def add(self, blob: bytes) -> None:
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        self.rows.append(np.frombuffer(blob, PIECE, n, 4))
+        self.size += self.tape.write(np.frombuffer(blob, np.uint8, offset=4 + n * PIECE.itemsize))[1]
+
+    def spans(self):
+        """Spans of all windows that come before, in SPAN batches."""
+        if not self.rows:
+            return
+        rows = np.concatenate(self.rows)
+        self.tape.file.flush()
+        data = np.memmap(self.tape.file, np.uint8, "r", shape=(self.size,)).view(np.ndarray)
+        length = rows["length"].astype(np.int64)
+        begin = np.cumsum(length) - length
+        firsts, spans = _collapsed(rows, "key", data, begin, length, _content(data, begin, length))
+        if len(spans):
+            yield spans
+        # Windows of one piece differ, and a key's only piece shares none.
+        firsts = firsts[_counts(rows["key"][firsts]) > 1]
+        if len(firsts):
+            yield from self._sorted(rows[firsts], data, begin[firsts])
+        self.tape.close()
+
+    @staticmethod
+    def _sorted(rows: np.ndarray, data: np.ndarray, begin: np.ndarray):
+        order = np.lexsort([rows[c] for c in reversed(PLACE)])
+        rows, begin = rows[order], begin[order]
+        length = rows["length"].astype(np.int64)
+        first = np.cumsum(length + 1) - length - 1
+        text = scratch(int(length.sum()) + len(rows), np.uint16)
+        for part in _blocks(length):
+            text[_flat(first[part], length[part])] = data[_flat(begin[part], length[part])].astype(np.uint16) + 1
+        late = late_windows(text)
+        for part in _blocks(length):
+            n = length[part] - LENGTH + 1
+            is_late = late[_flat(first[part], n)]
+            cuts = np.cumsum(n) - n
+            edge = np.r_[False, is_late[:-1]]
+            edge[cuts] = False
+            at = np.flatnonzero(is_late & ~edge)
+            stop = np.r_[is_late[1:], False]
+            stop[cuts + n - 1] = False
+            end = np.flatnonzero(is_late & ~stop) + 1
+            owner = np.searchsorted(cuts, at, side="right") - 1
+            r = rows[part][owner]
+            yield _spans(r["doc"], r["text"], r["start"] + at - cuts[owner], end - at + LENGTH - 1)
 
 
 def _sorted_shards(batches):
-    """Spans of late windows, from the suffix array of each shard's segments."""
-    for table in _by_key(batches, "shard"):
-        value, doc, crc, start = (table.column(c).to_numpy() for c in ("value", "doc", "crc", "start"))
-        data = table.column("bytes").to_pylist()
-        order = np.lexsort((start, crc, doc))
-        keep_rows, seen, per_value = [], {}, {}
-        for i in order.tolist():
-            key = (int(value[i]), data[i])
-            if key in seen:
-                j = seen[key]
-                if (doc[i], crc[i], start[i]) != (doc[j], crc[j], start[j]):
-                    yield _decided(None, doc[i : i + 1], crc[i : i + 1], start[i : i + 1], np.array([len(data[i])]), None)
+    """Spans of late windows: equal pieces by their bytes, others from the suffix array of their shard."""
+    shard, number = Shard(), None
+
+    def told(s: np.ndarray) -> pa.RecordBatch:
+        return _decided(IS_SPAN, None, s["doc"], s["text"], s["start"], s["length"])
+
+    for batch in batches:
+        for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if kind == IS_SPAN:
+                yield told(np.frombuffer(blob, SPAN))
                 continue
-            seen[key] = i
-            keep_rows.append(i)
-            per_value[int(value[i])] = per_value.get(int(value[i]), 0) + 1
-        # A value with one segment left can repeat only within it.
-        rows = [i for i in keep_rows if per_value[int(value[i])] > 1 or len(data[i]) > LENGTH]
-        if not rows:
-            continue
-        late = late_windows([data[i] for i in rows])
-        n = np.array([len(data[i]) - LENGTH + 1 for i in rows])
-        first = np.cumsum(n) - n
-        edge = np.r_[False, late[:-1]]
-        edge[first] = False
-        begin = np.flatnonzero(late & ~edge)
-        stop = np.r_[late[1:], False]
-        stop[(first + n - 1)] = False
-        end = np.flatnonzero(late & ~stop) + 1
-        owner = np.searchsorted(first, begin, side="right") - 1
-        at = np.array(rows)[owner]
-        if len(at):
-            yield _decided(None, doc[at], crc[at], start[at] + begin - first[owner], end - begin + LENGTH - 1, None)
+            if bucket != number:
+                for s in shard.spans():
+                    yield told(s)
+                shard, number = Shard(), bucket
+            shard.add(blob)
+    for s in shard.spans():
+        yield told(s)
 
 
 def _finish(keep_text: bool):
@@ -348,47 +543,48 @@ def _finish(keep_text: bool):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, crc, start, length) of all spans to remove, overlaps included; docs has doc, crc and text."""
+    """(doc, text, start, length) of all spans to remove, overlaps included; docs has doc, text (a hash) and bytes."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(partitions, -(-total // (36 * BUCKET_SEGMENTS)))
-    blobs = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_deal(buckets), "bucket int, blob binary")
-    decided = keep(blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh, DECISIONS))
-    spans = decided.where("value is null").select("doc", "crc", "start", "length")
-    wanted = decided.where("value is not null")
-    size = wanted.agg(F.sum("length")).first()[0] or 0
+    blobs = docs.where(F.octet_length("bytes") >= LENGTH).select("doc", F.col("text").alias("hash"), F.col("bytes").alias("text")).mapInArrow(_deal(buckets, FEW, SLICE), "bucket int, kind byte, blob binary")
+    decided = keep(blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh(HOT), DECISIONS))
+    fields = ["doc", "text", "start", "length"]
+    spans = decided.where(F.col("kind") == IS_SPAN).select(*fields)
+    cores = decided.where(F.col("kind") == IS_CORE).select("key", *fields)
+    shared = cores.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = decided.where(F.col("kind") == IS_PIECE).select("key", *fields, F.lit(False).alias("split"))
+    wanted = wanted.unionByName(cores.join(shared, "key").select("key", *fields, (F.col("n") > HOT).alias("split")))
+    size = decided.where(F.col("kind") != IS_SPAN).agg(F.sum("length")).first()[0] or 0
     if not size:
         return spans
     shards = max(partitions, -(-size // SHARD_BYTES))
-    lists = wanted.groupBy("doc", "crc").agg(F.collect_list(F.struct("value", "start", "length", "hot")).alias("wanted"))
-    pieces = docs.join(lists, ["doc", "crc"]).select("doc", "crc", "text", "wanted").mapInArrow(_cut, "value long, doc long, crc long, start long, bytes binary")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int")).repartition(partitions, "shard").sortWithinPartitions("shard")
-    found = pieces.mapInArrow(_sorted_shards, DECISIONS).select("doc", "crc", "start", "length")
+    lists = wanted.groupBy("doc", "text").agg(F.collect_list(F.struct("key", "start", "length", "split")).alias("wanted"))
+    pieces = docs.join(lists, ["doc", "text"]).select("doc", "text", "bytes", "wanted").mapInArrow(_cut(shards), "bucket int, kind byte, blob binary")
+    found = pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_shards, DECISIONS).select(*fields)
     return spans.unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """All rows of docs with n_bytes, n_removed, n_spans and kept_sha256 (and the kept text, if asked for) as ``_repeats``.
+    """All rows of docs as ``row`` with n_bytes, n_removed, n_spans and kept_sha256 (and the kept text, if asked for).
 
     A byte goes if a string of LENGTH bytes around it also starts earlier: in a document
-    with a smaller id, or sooner in the same one. Candidates are segments whose anchor
-    occurs more than once; equal segments are kept once, and the suffix arrays of shards of
-    segments decide the rest. Texts move between executors twice, by id.
+    with a smaller id, or sooner in the same one. Texts move between executors twice, by id.
 
     Defined cases: null texts are empty, texts under LENGTH bytes lose nothing; a null id
-    comes before all others; rows that share an id come in the order of their text's CRC-32,
+    comes before all others; rows that share an id come in the order of their text's XXH64,
     rows equal in both are one document; an empty table gives no rows. A kept text drops
     the ends of characters that a removed span has cut.
     """
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    spans = keep(repeated_spans(small_batches(rows).select("doc", "crc", "text")))
-    lists = spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("bytes")).withColumn("text", F.xxhash64("bytes"))
+    spans = keep(repeated_spans(small_batches(rows).select("doc", "text", "bytes")))
+    lists = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(lists, ["doc", "crc"], "left").select("row", "text", "spans").mapInArrow(_finish(keep_text), f"row {kind}, {fields}")
+    return rows.join(lists, ["doc", "text"], "left").select("row", F.col("bytes").alias("text"), "spans").mapInArrow(_finish(keep_text), f"row {kind}, {fields}")
 
 
 def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
