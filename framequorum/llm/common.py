@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +15,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows that a lookup table may have before it is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
 SALTS = 32
+#: A key is hot with more than this fraction (one in so many) of all rows.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share; a temporary one only on a local master that names none."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = getattr(spark.sparkContext, "_framequorum_dir", None)
+        folder = getattr(context, "_framequorum_dir", None)
         if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="framequorum-")
-            spark.sparkContext._framequorum_dir = folder
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+            context._framequorum_dir = folder
     return folder.rstrip("/")
 
 
@@ -30,7 +39,43 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete tables of ``keep`` that only other tables, written since, were made from, and release shuffles."""
+    for df in kept:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    release_shuffles(kept[0].sparkSession)
+
+
+def join_hot(big: DataFrame, small: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:
+    """Join big to small (one row per key) whatever keys are hot in big; ``how`` is inner or left.
+
+    A small table of up to BROADCAST_ROWS rows, which are counted, is broadcast. Otherwise keys
+    with over a HOT_SHARE-th of the rows of big, fewer than HOT_SHARE of them, are broadcast and
+    all others are joined by shuffle.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), big[left] == small[right], how)
+    limit = max(10_000, big.count() // HOT_SHARE)
+    hot = big.groupBy(F.col(left).alias("_hot")).count().where((F.col("count") > limit) & F.col("_hot").isNotNull()).select("_hot")
+    hot = keep(hot)
+    marked = big.join(F.broadcast(hot), big[left] == hot["_hot"], "left")
+    few = keep(small.join(F.broadcast(hot), small[right] == hot["_hot"], "left_semi"))
+    few = few.select(*[F.col(f"`{c}`") for c in small.columns])
+    cold = marked.where("_hot is null").drop("_hot").alias("b").join(small, F.col(f"b.{left}") == small[right], how)
+    return cold.unionByName(marked.where("_hot is not null").drop("_hot").join(F.broadcast(few), F.col(left) == few[right], how))
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -37,6 +37,12 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h >> np.uint32(32 - BITS), text[1:-1] != SPACE, offsets[:-1] + np.arange(n)
 
 
+def text_counts(texts: list[bytes]) -> np.ndarray:
+    """How often some texts have each trigram."""
+    ids, valid, _ = trigrams(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64))
+    return np.bincount(ids[valid], minlength=1 << BITS)
+
+
 @dataclass
 class TrigramModel:
     """Log probabilities of hashed trigrams for each language, and a flat one for unknown."""
@@ -47,12 +53,15 @@ class TrigramModel:
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[str]) -> TrigramModel:
         names = sorted(set(labels))
-        size = 1 << BITS
+        return cls.of_counts({name: text_counts([x for x, y in zip(texts, labels, strict=True) if y == name]) for name in names})
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> TrigramModel:
+        """From the trigram counts of each language."""
+        names, size = sorted(counts), 1 << BITS
         table = np.full((len(names) + 1, size), -np.log(size), np.float32)
         for k, name in enumerate(names):
-            own = [x for x, y in zip(texts, labels, strict=True) if y == name]
-            ids, valid, _ = trigrams(np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64))
-            count = np.bincount(ids[valid], minlength=size) + 0.01
+            count = counts[name] + 0.01
             table[k] = np.log(count / count.sum())
         return cls([*names, UNKNOWN], table)
 
@@ -114,8 +123,9 @@ def fuse(scored: DataFrame, languages: list[str], threshold: float) -> DataFrame
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TrigramModel:
     """Trigram tables of every label, from about ROWS_PER_LANGUAGE rows of each (fewer beyond LANGUAGES labels).
 
-    A row is taken if a hash of its id falls below its language's share, so the sample is
-    the same at every run; it is the only text that reaches the driver.
+    A row is taken if a hash of its id and text falls below its language's share, so the
+    sample is the same at every run. Executors count its trigrams: the driver gets sums, at
+    most 65,536 a label, and no text.
     """
     label = F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), label.alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
@@ -124,9 +134,22 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         return TrigramModel.fit([], [])
     each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, ROWS_PER_LANGUAGE * LANGUAGES // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], each / r["count"])])[F.col("lang")]
-    unit = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
-    seen = rows.where(unit < share).select("lang", "text").limit(2 * max(ROWS_PER_LANGUAGE * LANGUAGES, each * len(counts))).collect()
-    return TrigramModel.fit([r["text"].encode() for r in seen], [r["lang"] for r in seen])
+    unit = F.shiftrightunsigned(F.xxhash64("_id", "text"), 11) / F.lit(float(1 << 53))
+
+    def counted(batches):
+        for batch in by_bytes(batches, "text", 2 << 20):
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                n = text_counts([t.encode() for t, x in zip(texts, langs, strict=True) if x == lang])
+                ids = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(n[ids])], names=["lang", "trigram", "n"])
+
+    seen = small_batches(rows.where(unit < share).select("lang", "text")).mapInArrow(counted, "lang string, trigram int, n long")
+    table = seen.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("trigram", "n")).alias("counts")).toArrow()
+    found = {r["lang"]: np.zeros(1 << BITS, np.int64) for r in counts}
+    for lang, column in zip(table["lang"].to_pylist(), table["counts"].to_pylist() if table.num_rows else [], strict=True):
+        found[lang][[c["trigram"] for c in column]] = [c["n"] for c in column]
+    return TrigramModel.of_counts(found)
 
 
 def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.5) -> DataFrame:
@@ -150,7 +173,7 @@ def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.5) -> Da
 def declared(text: Column) -> Column:
     """Primary subtag of the ``lang`` attribute of an html tag, in lower case; null if there is none."""
     tag = F.lower(F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
-    return F.when(text.contains("<html") & (tag != ""), tag)
+    return F.when(text.rlike(r"(?i)<html\b") & (tag != ""), tag)
 
 
 def identify_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:

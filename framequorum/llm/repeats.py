@@ -17,9 +17,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, keep, small_batches, utf8_buffer
+from .common import by_bytes, forget, keep, release_shuffles, small_batches, utf8_buffer
 from .suffix import Tape, scratch, sorted_suffixes
 
 #: Bytes of a string whose repetition counts; common prefixes are counted up to this.
@@ -38,7 +39,7 @@ POSITION_BITS = 22
 BUCKET_SEGMENTS = 100_000
 SHARD_BYTES = 512 << 10
 #: Bytes of pieces that a task compares before it sends them.
-HELD = 4 << 20
+HELD = 8 << 20
 NO_ID = -(2**63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -347,7 +348,7 @@ def _weigh(most: int):
 
 
 def _parcels(shards: int, rows: np.ndarray, data: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
-    """Blobs by shard of the key: how many pieces, their rows, and their bytes one after another."""
+    """Blobs by shard of the key: how many pieces, their rows, and their bytes one after another, compressed."""
     shard = (_mixed(rows["key"].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     shard, rows, begin = shard[order], rows[order], begin[order]
@@ -355,7 +356,8 @@ def _parcels(shards: int, rows: np.ndarray, data: np.ndarray, begin: np.ndarray)
     length = rows["length"].astype(np.int64)
     flat = data[_flat(begin, length)]
     at = np.r_[0, np.cumsum(length)]
-    blobs = [np.array([b - a], "<u4").tobytes() + rows[a:b].tobytes() + flat[at[a] : at[b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blobs = [np.array([b - a], "<u4").tobytes() + rows[a:b].tobytes() + pack(flat[at[a] : at[b]].data) for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int32)), pa.array(np.full(len(cuts), IS_PIECE, np.int8)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
@@ -437,7 +439,8 @@ class Shard:
     def add(self, blob: bytes) -> None:
         n = int(np.frombuffer(blob, "<u4", 1)[0])
         self.rows.append(np.frombuffer(blob, PIECE, n, 4))
-        self.size += self.tape.write(np.frombuffer(blob, np.uint8, offset=4 + n * PIECE.itemsize))[1]
+        data = zstandard.ZstdDecompressor().decompress(memoryview(blob)[4 + n * PIECE.itemsize :])
+        self.size += self.tape.write(np.frombuffer(data, np.uint8))[1]
 
     def spans(self):
         """Spans of all windows that come before, in SPAN batches."""
@@ -543,7 +546,7 @@ def _finish(keep_text: bool):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, text, start, length) of all spans to remove, overlaps included; docs has doc, text (a hash) and bytes."""
+    """(doc, text, start, length) of all spans to remove, overlaps included, in a written table; docs has doc, text (a hash) and bytes."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -559,11 +562,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = decided.where(F.col("kind") != IS_SPAN).agg(F.sum("length")).first()[0] or 0
     if not size:
         return spans
+    release_shuffles(spark)
     shards = max(partitions, -(-size // SHARD_BYTES))
     lists = wanted.groupBy("doc", "text").agg(F.collect_list(F.struct("key", "start", "length", "split")).alias("wanted"))
     pieces = docs.join(lists, ["doc", "text"]).select("doc", "text", "bytes", "wanted").mapInArrow(_cut(shards), "bucket int, kind byte, blob binary")
     found = pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_shards, DECISIONS).select(*fields)
-    return spans.unionByName(found)
+    out = keep(spans.unionByName(found))
+    forget(decided)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -581,7 +587,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("bytes")).withColumn("text", F.xxhash64("bytes"))
-    spans = keep(repeated_spans(small_batches(rows).select("doc", "text", "bytes")))
+    spans = repeated_spans(small_batches(rows).select("doc", "text", "bytes"))
     lists = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.join(lists, ["doc", "text"], "left").select("row", F.col("bytes").alias("text"), "spans").mapInArrow(_finish(keep_text), f"row {kind}, {fields}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keep
 
@@ -60,15 +60,18 @@ def bucket_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
     return np.array([n // per_shard + (b < n % per_shard) for n in sizes for b in range(per_shard)], dtype=np.int64)
 
 
-def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
+def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bucket_rows: int = 4096, spread: tuple[Column, ...] = ()) -> DataFrame:
     """Add ``shard`` and a gapless ``slot`` from 0 to every row: a uniform random shuffle.
 
-    Every row's partition is a hash of its content, so a lost task is done again alike. Each
-    partition permutes its rows and sends exact counts to buckets; each bucket permutes what
+    Every row's partition is a hash of its content, so a lost task is done again alike. Rows
+    whose equals are more than a partition should hold are dealt by ``spread`` instead: values
+    that tell equal rows apart and that a lost task finds again, such as file and row number.
+    Each partition permutes its rows and sends exact counts to buckets; each bucket permutes what
     it got. A shard is a run of buckets of known size, so slots need no further counting.
 
     Defined cases: nulls are values like any other; equal rows are interchangeable; an empty
-    table gives no rows; a partition or bucket holds max(bucket_rows, rows / 65,536) rows.
+    table gives no rows; a bucket holds max(bucket_rows, rows / 65,536) rows, and so does a
+    partition on average; without ``spread``, equal rows are all in one partition.
     """
     schema = rows.schema
     names = rows.columns
@@ -76,9 +79,22 @@ def uniform_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bucket_rows
     parts = max(1, min(MAX_PARTITIONS, -(-total // bucket_rows)))
     per_shard = max(1, -(-total // (shards * max(bucket_rows, -(-total // MAX_PARTITIONS)))))
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(parts)).cast("int"))
-    counts = np.zeros(parts, dtype=np.int64)
-    for r in dealt.groupBy("_part").count().collect():  # parts rows, 65,536 at most
-        counts[r["_part"]] = r["count"]
+
+    def counted() -> np.ndarray:
+        counts = np.zeros(parts, dtype=np.int64)
+        for r in dealt.groupBy("_part").count().collect():  # parts rows, 65,536 at most
+            counts[r["_part"]] = r["count"]
+        return counts
+
+    counts = counted()
+    most = 2 * max(bucket_rows, -(-total // MAX_PARTITIONS))
+    full = np.flatnonzero(counts > most).tolist()
+    if full and spread:
+        many = dealt.where(F.col("_part").isin(full)).groupBy(*names).count().where(F.col("count") > most)
+        many = [r[0] for r in many.select(F.xxhash64(*names)).collect()]  # 32,768 at most
+        if many:
+            dealt = dealt.withColumn("_part", F.when(F.xxhash64(*names).isin(many), F.pmod(F.xxhash64(F.lit(seed), *spread), F.lit(parts)).cast("int")).otherwise(F.col("_part")))
+            counts = counted()
 
     def permuted(table: pa.Table, *name: int) -> pa.Table:
         table = table.sort_by([(n, "ascending") for n in names])
@@ -113,5 +129,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_row
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    out = uniform_shards(digest, shards, seed, bucket_rows)
+    # File names carry a random part; the task's number in them and the row's number in the file do not.
+    spread = (F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.col("_metadata.row_index"))
+    out = uniform_shards(digest, shards, seed, bucket_rows, spread)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, keep, lookup, small_batches, utf8_buffer
+from .common import BROADCAST_ROWS, by_bytes, forget, join_hot, keep, lookup, small_batches, utf8_buffer
 from .graph import components, merge
 
 SEED = 42
@@ -174,7 +174,9 @@ def link_groups(group: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarr
             found = close_pairs(x[b : b + n], radius)
         else:
             index = GrayIndex(x[b : b + n])
-            found = (index.pairs(np.arange(at, min(n, at + 256)), radius) for at in range(0, n, 256))
+            # However dense the group, so many queries give no more than BLOCK pairs.
+            step = max(1, min(256, BLOCK // n))
+            found = (index.pairs(np.arange(at, min(n, at + step)), radius) for at in range(0, n, step))
         local = np.arange(n)
         for i, j in found:
             new = local[i] != local[j]
@@ -282,7 +284,9 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
     cells = dealt.repartition(partitions, "band", "key", "ci", "cj").sortWithinPartitions("band", "key", "ci", "cj")
     edges = cells.mapInArrow(_linked(lanes, radius), "a long, b long")
     tied = components(edges)
-    return keep(nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")))
+    out = keep(nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")))
+    forget(nodes)
+    return out
 
 
 def text_fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +314,8 @@ def simhash_components(docs: DataFrame, words: int = 3, lanes: int = 1, radius:
     """
     prints = keep(text_fingerprints(docs, words, lanes, id_col, text_col))
     found = near_components(prints, lanes, radius, exact)
-    return prints.join(found, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+    found = found.withColumnRenamed("fp", "_fp")
+    return join_hot(prints, found, "fp", "_fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def radius_for(similarity: float, lanes: int) -> int:

@@ -6,21 +6,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import keep
+
 #: A term whose postings fill more of a block than this is added as a whole row.
 DENSE = 0.25
 SCORES_PER_BLOCK = 1 << 19
 
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids in ascending order with one integer vector each; of rows that share an id the smallest vector stays."""
-    ids = table.column("id").to_numpy()
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids in ascending order, row numbers, and one integer vector each."""
+    ids, numbers = table.column("id").to_numpy(), table.column("row").to_numpy()
     lists = table.column("v").combine_chunks()
     flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    order = np.argsort(ids, kind="stable")
-    if len(ids) and len(np.unique(ids)) < len(ids):
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], flat[ends[i] : ends[i + 1]].tolist())), dtype=np.int64)
-        order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-    return ids[order], [flat[ends[i] : ends[i + 1]] for i in order]
+    order = np.lexsort((numbers, ids))
+    return ids[order], numbers[order], [flat[ends[i] : ends[i + 1]] for i in order]
 
 
 def _postings(vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -61,12 +60,11 @@ def accumulate(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.nd
     return scores
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
-    """The k highest (score, id), ties to the smaller id, without the query's own row. ids ascend."""
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int]]:
+    """The k highest (score, id), ties to the smaller id, without the query's own row (where own is true, once at most). ids ascend."""
     take = min(len(ids), k + 1)
     least = np.partition(scores, len(ids) - take)[len(ids) - take]
-    near = np.flatnonzero(scores >= least)
-    near = near[ids[near] != own]
+    near = np.flatnonzero((scores >= least) & ~own)
     order = sorted(near.tolist(), key=lambda i: (-int(scores[i]), int(ids[i])))[:k]
     return [(int(scores[i]), int(ids[i])) for i in order]
 
@@ -75,17 +73,17 @@ def _cell(k: int):
     low, high = -(2**63), 2**63 - 1
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        qids, qv = _rows(queries)
-        ids, vectors = _rows(candidates)
+        out = ([], [], [], [])
+        qids, qrows, qv = _rows(queries)
+        ids, numbers, vectors = _rows(candidates)
         step = max(1, SCORES_PER_BLOCK // max(1, len(ids)))
         for at in range(0, len(qids) if len(ids) else 0, step):
             scores = accumulate(qv[at : at + step], vectors)
-            for own, row in zip(qids[at : at + step], scores, strict=True):
-                for score, vec in best_of(ids, row, k, int(own)):
-                    for column, value in zip(out, (int(own), vec, min(max(score, low), high)), strict=True):
+            for query, number, row in zip(qids[at : at + step], qrows[at : at + step], scores, strict=True):
+                for score, vec in best_of(ids, row, k, numbers == number):
+                    for column, value in zip(out, (int(query), int(number), vec, min(max(score, low), high)), strict=True):
                         column.append(value)
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "query_row", "vec_id", "score"), out, strict=True)})
 
     return run
 
@@ -99,21 +97,23 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     ``is_query`` is a condition on ``id_col``.
 
     Defined cases: rows with a null id or vector, or a null or non-finite component, take no
-    part; vectors of different lengths count missing components as zero; rows that share an
-    id count as one (the smallest vector); fewer than k others give them all; an empty
-    table, or no query, gives no rows; sums beyond 64 bits are cut off at the largest long.
+    part; vectors of different lengths count missing components as zero; each row is a query
+    and a candidate of its own, also where it shares its id; fewer than k others give them
+    all; an empty table, or no query, gives no rows; sums beyond 64 bits are cut off at the largest long.
     """
     x = F.col("_v")
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("_v")).where(F.col("id").isNotNull() & x.isNotNull())
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
     valid = valid.where(~bad).select("id", F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v"))
+    # Written once, so that a row has one number as a query and as a candidate.
+    valid = keep(valid.withColumn("row", F.monotonically_increasing_id()))
     asked = is_query if isinstance(is_query, Column) else F.expr(is_query)
     size = valid.select(asked.alias("q")).agg(F.count("*").alias("n"), F.count_if("q").alias("m")).first()
     rows, cols = max(1, -(-size["m"] // query_rows)), max(1, -(-size["n"] // cell_rows))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = valid.withColumn("c", deal(cols, 1)).withColumn("r", every(rows))
     queries = valid.where(asked).withColumn("r", deal(rows, 2)).withColumn("c", every(cols))
-    found = candidates.groupBy("c", "r").cogroup(queries.groupBy("c", "r")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = candidates.groupBy("c", "r").cogroup(queries.groupBy("c", "r")).applyInArrow(_cell(k), "query_id long, query_row long, vec_id long, score long")
+    by = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

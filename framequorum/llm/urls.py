@@ -183,8 +183,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """A verdict for every url: its longest rule's, else the boosted trees'.
 
     The trees learn from distinct urls that a rule decides, at most ``train_rows`` of them,
-    taken in the order of a hash of the url (the bound of what reaches the driver); suffix
-    rates come from a grouped aggregation over all decided rows. Rules and parts stay DataFrame expressions; only urls reach Python.
+    taken in the order of a hash of the url (the bound of what reaches the driver), unsigned
+    and in its upper bits; suffix rates come from a grouped aggregation over all decided
+    rows. Rules and parts stay DataFrame expressions; urls reach Python in Arrow batches.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path and is
     judged by the trees; with no decided url, or one kind only, the trees give that base
@@ -200,15 +201,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     decided = rows.where(F.col("_told").isNotNull()).withColumn("_y", (F.col("_told") == "block").cast("long"))
     counts = decided.select(F.explode(F.array_distinct(F.array(*ends))).alias("_suffix"), "_y").groupBy("_suffix").agg(F.count("*").alias("n"), F.sum("_y").alias("k"))
     counts = keep(counts.select("_suffix", F.struct("n", "k").alias("_seen")))
-    prior = decided.agg(F.avg("_y")).first()[0]
+    prior, distinct = decided.agg(F.avg("_y"), F.approx_count_distinct("_url", 0.02)).first()
 
     def counted(df: DataFrame) -> DataFrame:
         for k, end in enumerate(ends, 1):
             df = lookup(df.withColumn(f"_end{k}", end), counts.select(F.col("_suffix").alias(f"_end{k}"), F.col("_seen").alias(f"_seen{k}")), f"_end{k}").drop(f"_end{k}")
         return df.withColumns({f"_{c}{k}": F.coalesce(F.col(f"_seen{k}.{c}"), F.lit(0)) for k in (1, 2) for c in "nk"}).drop("_seen1", "_seen2")
 
-    sample = decided.groupBy("_url", "host", "path", "_y").agg(F.count("*").alias("_copies")).orderBy(F.xxhash64("_url"), "_url").limit(train_rows)
-    seen = counted(sample).orderBy(F.xxhash64("_url"), "_url").collect()
+    # Urls whose hash is below a share of about 1.5 samples, so that tasks send few rows beyond those taken.
+    unit = F.shiftrightunsigned(F.xxhash64("_url"), 11) / F.lit(float(1 << 53))
+    drawn = decided.where(unit < F.lit(min(2.0, 1.5 * train_rows / max(1, distinct or 0))))
+    sample = drawn.groupBy("_url", "host", "path", "_y").agg(F.count("*").alias("_copies")).orderBy(unit, "_url").limit(train_rows)
+    seen = counted(sample).orderBy(unit, "_url").collect()
     model = UrlModel.fit_counted([(r["_url"], r["host"], r["path"]) for r in seen], [r["_y"] for r in seen], [r["_copies"] for r in seen], [((r["_n1"], r["_k1"]), (r["_n2"], r["_k2"])) for r in seen], 0.5 if prior is None else prior)
 
     @F.pandas_udf("double")

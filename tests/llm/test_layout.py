@@ -19,15 +19,14 @@ def _vectors(rows):
 def brute_top(rows, k=5):
     from math import floor, isfinite
 
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and isfinite(x) for x in v):
-            w = tuple(floor(256 * x) for x in np.float32(v).astype(float))
-            good[i] = min(good.get(i, w), w)
+            good.append((i, tuple(floor(256 * x) for x in np.float32(v).astype(float))))
     out = []
-    for q, a in good.items():
+    for own, (q, a) in enumerate(good):
         if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in good.items() if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, (i, b) in enumerate(good) if n != own)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -72,6 +71,14 @@ def test_shards(spark):
     assert sorted(rows) == sorted(again)
 
 
+def test_equal_rows_do_not_share_a_partition(spark):
+    """A third of all rows without id, with one text: no partition gets them all, and sizes are exact."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    rows = sharding.shard_documents(docs.repartition(4), bucket_rows=100).collect()
+    _sharded(rows, 3000)
+    assert Counter(r.doc_id for r in rows if r.doc_id is not None) == Counter(i for i in range(3000) if i % 3) and sum(r.doc_id is None for r in rows) == 1000
+
+
 def test_shuffle_is_uniform(spark):
     docs = spark.range(4000).select(F.col("id").alias("x"))
     rows = sharding.uniform_shards(docs, shards=4, bucket_rows=250).collect()
