@@ -17,7 +17,7 @@ from .common import by_bytes, small_batches, utf8_buffer
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Words whose ids a worker remembers (two generations of half as many).
+#: Words whose committed ids a worker remembers (two generations of half as many).
 REMEMBERED = 120_000
 #: Pairs of neighbours that a worker remembers.
 PAIRS = 250_000
@@ -88,6 +88,8 @@ class Pieces:
         self.stand: dict[int, bool] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        #: Boundaries on which all surviving paths had converged and up to which ids were given out.
+        self.commits = 0
 
     def _ends(self, pieces: list[tuple[str, int]], depth: int) -> dict:
         """Levels of ``back`` for sorted reversed pieces that share their first ``depth`` characters."""
@@ -150,63 +152,88 @@ class Pieces:
 
     # The streaming search.
 
-    def stream(self, chars: Iterable[str], hold: int = 8) -> Iterator[int]:
-        """Piece ids of a character stream; an unknown character gives -1 - its code point.
+    def _read(self, text: list[str] | str, i: int, last: list[int | None], size: list[int], best: list[float]) -> None:
+        """Take in the i-th character of the window: its back pointer goes to the start of the piece that ends there.
 
-        Only the positions that a later piece can start from are open (at most the longest
-        piece's length of them). Once more than ``hold`` times that many characters are
-        undecided, the back pointers of the open positions are followed to where they meet,
-        and everything before that boundary is given out and forgotten.
+        Under merge rules only one piece can stand last at a position, and what follows does
+        not change it, so the search ends at the first that may; else the best score counts.
         """
-        text: list[str] = []
-        last: list[int | None] = [None]
-        size = [0]
-        best = [0.0]
-        longest, bpe, stand, vocab_root = self.longest, self.kind == BPE, self.stand, self.back
-        for c in chars:
-            text.append(c)
-            i = len(text)
-            node, at = vocab_root, i
-            chosen, length, top = None, 0, -float("inf")
-            while at and i - at < longest:
+        node, at = self.back, i
+        chosen, start, c = None, i, text[i - 1]
+        if self.kind == BPE:
+            stand = self.stand
+            while at:
                 entry = node.get(text[at - 1])
                 if entry is None:
                     break
                 at -= 1
                 node, k = entry
-                if k < 0 or size[at] < 0:
+                if k < 0:
                     continue
-                if bpe:
-                    p = last[at]
-                    if p is not None and p >= 0:
-                        key = p << 24 | k
-                        ok = stand.get(key)
-                        if ok is None:
-                            ok = stand[key] = self._neighbours(p, k)
-                        if not ok:
-                            continue
-                    elif self._tree(k) is None:
+                p = last[at]
+                if p is None:
+                    if size[at] < 0 or self._tree(k) is None:
+                        continue
+                elif p >= 0:
+                    key = p << 24 | k
+                    ok = stand.get(key)
+                    if ok is None:
+                        ok = stand[key] = self._neighbours(p, k)
+                    if not ok:
                         continue
-                    chosen, length = k, i - at
-                else:
-                    value = best[at] + self.scores[k]
-                    if value > top:
-                        chosen, length, top = k, i - at, value
+                elif self._tree(k) is None:
+                    continue
+                chosen, start = k, at
+                break
             if chosen is None and c not in self.vocab:
-                chosen, length, top = -1 - ord(c), 1, best[i - 1] + self.worst
-            elif chosen is not None and not bpe and c not in self.vocab and best[i - 1] + self.worst > top:
-                chosen, length, top = -1 - ord(c), 1, best[i - 1] + self.worst
-            last.append(chosen)
-            size.append(length if chosen is not None else -1)
-            best.append(top if not bpe else 0.0)
-            if i > hold * longest:
-                meet = self._meeting(size)
+                chosen, start = -1 - ord(c), i - 1
+        else:
+            top = -float("inf")
+            while at:
+                entry = node.get(text[at - 1])
+                if entry is None:
+                    break
+                at -= 1
+                node, k = entry
+                if k >= 0 and size[at] >= 0 and best[at] + self.scores[k] > top:
+                    chosen, start, top = k, at, best[at] + self.scores[k]
+            if c not in self.vocab and best[i - 1] + self.worst > top:
+                chosen, start, top = -1 - ord(c), i - 1, best[i - 1] + self.worst
+            best.append(top)
+        last.append(chosen)
+        size.append(i - start if chosen is not None else -1)
+
+    def stream(self, chars: Iterable[str], hold: int = 8) -> Iterator[int]:
+        """Piece ids of a character stream; an unknown character gives -1 - its code point.
+
+        Only the positions that a later piece can start from are open (at most the longest
+        piece's length of them). Where no piece of the vocabulary reaches over a border of
+        words, a border is the one open position, on which all back pointers have converged:
+        everything before it is given out and forgotten. Elsewhere, once more than ``hold``
+        times the longest piece's characters are undecided, the back pointers of the open
+        positions are followed to where they meet, and that boundary is committed.
+        """
+        text: list[str] = []
+        last: list[int | None] = [None]
+        size, best = [0], [0.0]
+        limit = hold * self.longest
+        for c in chars:
+            n = len(text)
+            if n and (n >= limit or self.breaks and c == SPACE and text[-1] != SPACE):
+                meet = n if c == SPACE and text[-1] != SPACE and self.breaks else self._meeting(size)
                 if meet:
-                    yield from self._path(last, size, meet)
-                    base = best[meet]
-                    text, size, best = text[meet:], [0, *size[meet + 1 :]], [b - base for b in best[meet:]]
-                    last = [last[meet], *last[meet + 1 :]]
-        yield from self._path(last, size, len(text))
+                    yield from self._commit(last, size, meet)
+                    base = best[meet] if self.kind != BPE else 0.0
+                    # Past a border of words the next piece has no neighbour to agree with.
+                    text, size, best = text[meet:], [0, *size[meet + 1 :]], [b - base for b in best[meet:]] or [0.0]
+                    last = [None if meet == n and self.breaks else last[meet], *last[meet + 1 :]]
+            text.append(c)
+            self._read(text, len(text), last, size, best)
+        yield from self._commit(last, size, len(text))
+
+    def _commit(self, last: list[int | None], size: list[int], end: int) -> list[int]:
+        self.commits += bool(end)
+        return self._path(last, size, end)
 
     def _meeting(self, size: list[int]) -> int:
         """The last boundary that the back pointers of all open positions share (0: none yet)."""
@@ -238,48 +265,21 @@ class Pieces:
         return tuple(out)
 
     def _learn(self, units: Iterable[str]) -> None:
-        """Remember the ids of merge units, in order, so that each goes on where its common start with the one before ends.
+        """Remember the ids that the search commits for words, whose borders are boundaries that all paths share.
 
-        A prefix's last piece does not depend on what follows, and only one piece can stand
-        last, so the search stops at the first that may.
+        Words come in order, and the window goes back only to where a word parts from the
+        one before it: the positions up to there are read once.
         """
-        young, stand, root, vocab = self.young, self.stand, self.back, self.vocab
-        before, last, size = "", [None], [0]
+        before, last, size, best = "", [None], [0], [0.0]
         for unit in sorted(units):
             same, most = 0, min(len(before), len(unit))
             while same < most and before[same] == unit[same]:
                 same += 1
-            del last[same + 1 :], size[same + 1 :]
+            del last[same + 1 :], size[same + 1 :], best[same + 1 :]
             before = unit
             for i in range(same + 1, len(unit) + 1):
-                level, at, chosen = root, i, None
-                while at:
-                    entry = level.get(unit[at - 1])
-                    if entry is None:
-                        break
-                    at -= 1
-                    level, k = entry
-                    if k < 0:
-                        continue
-                    p = last[at]
-                    if p is None:
-                        if at or self._tree(k) is None:
-                            continue
-                    elif p >= 0:
-                        ok = stand.get(p << 24 | k)
-                        if ok is None:
-                            ok = stand[p << 24 | k] = self._neighbours(p, k)
-                        if not ok:
-                            continue
-                    elif self._tree(k) is None:
-                        continue
-                    chosen = k
-                    break
-                if chosen is None and unit[i - 1] not in vocab:
-                    chosen, at = -1 - ord(unit[i - 1]), i - 1
-                last.append(chosen)
-                size.append(i - at if chosen is not None else -1)
-            young[unit] = self._ids(self._path(last, size, len(unit)))
+                self._read(unit, i, last, size, best)
+            self.young[unit] = self._ids(self._commit(last, size, len(unit)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; empty for an empty one."""
@@ -306,10 +306,8 @@ class Pieces:
                 young[unit] = old[unit]
             elif len(unit) > LONG_UNIT:
                 long[unit] = self._ids(self.stream(unit))
-            elif self.kind == BPE:
-                learn.append(unit)
             else:
-                young[unit] = self._ids(self.stream(unit))
+                learn.append(unit)
         self._learn(learn)
         out = []
         for units in cut:

@@ -52,6 +52,21 @@ def test_stream_commits_early(mine):
     assert len([next(s) for _ in range(1000)]) == 1000
 
 
+def test_prose_is_committed_at_converging_paths(library):
+    """Ordinary text goes through the search: a boundary is committed at every border of words, and what is remembered is what was committed."""
+    text = prose(11, 400)
+    fresh = P.Pieces(MODEL)
+    spaced = fresh._spaced(text)
+    assert list(fresh._ids(fresh.stream(spaced))) == library.encode(text) and fresh.commits == len(text.split())
+    fresh.commits = 0
+    read, plain = [], fresh._read
+    fresh._read = lambda text, i, *window: (read.append(text[:i] if isinstance(text, str) else "".join(text[:i])), plain(text, i, *window))[1]
+    assert fresh.encode(text) == library.encode(text)
+    words = set(fresh.unit.findall(spaced))
+    assert fresh.commits == len(words) == len(fresh.young) and {w[:i] for w in words for i in range(1, len(w) + 1)} == set(read)
+    assert fresh.encode(text) == library.encode(text) and fresh.commits == len(words)
+
+
 def test_unigram_models_take_the_best_path():
     tag = dict(P._fields(MODEL))[2]
     kind = MODEL.replace(tag, tag.replace(b"\x18\x02", b"\x18\x01", 1), 1)
