@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, forget, keep, release_shuffles, small_batches, utf8_buffer
+from .common import by_bytes, forget, join_hot, keep, release_shuffles, small_batches, utf8_buffer
 from .suffix import Tape, scratch, sorted_suffixes
 
 #: Bytes of a string whose repetition counts; common prefixes are counted up to this.
@@ -556,9 +556,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     fields = ["doc", "text", "start", "length"]
     spans = decided.where(F.col("kind") == IS_SPAN).select(*fields)
     cores = decided.where(F.col("kind") == IS_CORE).select("key", *fields)
-    shared = cores.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep(cores.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1"))
     wanted = decided.where(F.col("kind") == IS_PIECE).select("key", *fields, F.lit(False).alias("split"))
-    wanted = wanted.unionByName(cores.join(shared, "key").select("key", *fields, (F.col("n") > HOT).alias("split")))
+    wanted = wanted.unionByName(join_hot(cores, shared, "key", "_key").select("key", *fields, (F.col("n") > HOT).alias("split")))
     size = decided.where(F.col("kind") != IS_SPAN).agg(F.sum("length")).first()[0] or 0
     if not size:
         return spans
@@ -568,7 +568,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = docs.join(lists, ["doc", "text"]).select("doc", "text", "bytes", "wanted").mapInArrow(_cut(shards), "bucket int, kind byte, blob binary")
     found = pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_shards, DECISIONS).select(*fields)
     out = keep(spans.unionByName(found))
-    forget(decided)
+    forget(decided, shared)
     return out
 
 
