@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import BestFrameRules
@@ -53,11 +56,34 @@ def latched(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_seen", seen).where((F.col("source") != "fallback") | (F.col("_seen") == 0)).drop("_seen")
 
 
+def running_median(rows: DataFrame, value: str, key: str, order: str, out: str = "_median") -> DataFrame:
+    """Add the median of a key's values up to each row, nulls left out: one pass over sorted rows.
+
+    Only the values of the key at hand are held, in order; rows go through in Arrow batches.
+    """
+
+    def run(batches):
+        current, held = None, []
+        for batch in batches:
+            keys, values = batch.column(batch.schema.get_field_index(key)).to_pylist(), batch.column(batch.schema.get_field_index(value)).to_pylist()
+            medians = []
+            for k, v in zip(keys, values, strict=True):
+                if k != current:
+                    current, held = k, []
+                if v is not None:
+                    insort(held, v)
+                n = len(held)
+                medians.append(None if not n else held[n // 2] if n % 2 else 0.5 * held[n // 2 - 1] + 0.5 * held[n // 2])
+            yield batch.append_column(out, pa.array(medians, pa.float64()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{fields}, {out} double")
+
+
 def running_aspect(candidates: DataFrame, rules: BestFrameRules = BestFrameRules()) -> DataFrame:
     """Add the expected aspect of every row: from the median aspect of the track's detections up to it."""
-    so_far = Window.partitionBy("track_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     aspect = F.when((F.col("source") != "fallback") & (F.col("h") > 0), F.col("w") / F.col("h").cast("double"))
-    out = candidates.withColumn("_aspect", aspect).withColumn("_median", F.percentile("_aspect", F.lit(0.5)).over(so_far))
+    out = running_median(candidates.withColumn("_aspect", aspect), "_aspect", "track_id", "ord")
     return out.withColumn("expected", expected_aspect(F.col("_median"), rules)).drop("_aspect", "_median")
 
 

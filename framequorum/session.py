@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,13 @@ def session(master: str | None = None, name: str = "framequorum", **settings: st
     """The running session, or a new one; master is left to spark-submit unless given."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one all executors share; a temporary one only on a local master that names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="framequorum-")
+    return f"{folder.rstrip('/')}/files/{uuid.uuid4().hex}"

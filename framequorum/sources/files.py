@@ -6,13 +6,18 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.labels import ccpd_fields, label_line
 
-RESULT_COLUMNS = ("track_id", "plate", "formatted", "votes", "accepted", "total", "reliable", "mean_confidence", "first_frame", "last_frame")
+# The columns of a result table, in their order.
+RESULT_COLUMNS = (
+    "track_id", "plate_text", "plate_display", "confidence", "valid_format", "reliable", "is_two_line", "vote_count", "total_readings", "accepted_readings", "hits", "class_id", "label",
+    "first_frame", "last_frame", "first_timestamp", "last_timestamp", "vehicle_bbox", "per_char_confidence", "supporting_frames", "fusion_notes", "fusion_used",
+)
 LABEL_SCHEMA = "image string, plate_text string, tl_x int, tl_y int, tr_x int, tr_y int, br_x int, br_y int, bl_x int, bl_y int"
 
 
@@ -93,8 +98,8 @@ def _sheet(content: bytes) -> list[list[str | None]]:
         return out
 
 
-def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """First sheets of workbooks, header skipped, all columns as text; one task reads a workbook."""
+def sheet_rows(workbooks: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the first sheets of workbooks (content), header skipped, all columns as text; one task reads a workbook."""
     schema = ", ".join(f"`{c}` string" for c in columns)
 
     def run(batches):
@@ -103,7 +108,61 @@ def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                 rows = [(r + [None] * len(columns))[: len(columns)] for r in _sheet(bytes(content))[1:]]
                 yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return workbooks.select("content").mapInPandas(run, schema)
+
+
+def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``sheet_rows`` of the workbooks under a path."""
+    return sheet_rows(spark.read.format("binaryFile").load(path), columns)
+
+
+def _workbook(header: list[str], rows: list[tuple]) -> bytes:
+    """A workbook with one sheet of text cells; nulls are left out."""
+
+    def cell(row: int, column: int, value) -> str:
+        letters, n = "", column + 1
+        while n:
+            n, r = divmod(n - 1, 26)
+            letters = chr(65 + r) + letters
+        return f'<c r="{letters}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = [f'<row r="{i}">{"".join(cell(i, j, v) for j, v in enumerate(r) if v is not None)}</row>' for i, r in enumerate([tuple(header), *rows], 1)]
+    office, package = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{sheet}" xmlns:r="{office}"><sheets><sheet name="labels" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{sheet}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
+def workbooks(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """One workbook per value of ``by``: (by, content), rows in order. A sheet is what one person labels, so it fits a task."""
+    columns = [c for c in rows.columns if c != by]
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")[columns]
+        return pd.DataFrame({by: [key[0]], "content": [_workbook(columns, list(part.astype(object).where(part.notna(), None).itertuples(index=False, name=None)))]})
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, content binary")
+
+
+def dataset_yaml(folder: str, names: list[str]) -> str:
+    """The description of a detection data set, for trainers."""
+    return f"path: {folder}\ntrain: images/train\nval: images/val\ntest: images/test\nnames:\n" + "".join(f"  {i}: {n}\n" for i, n in enumerate(names))
+
+
+def write_split(rows: DataFrame, path: str) -> None:
+    """split.csv (image, track_id, split, has_plate, plate_text) of labelled rows that have their split."""
+    rows.select("image", "track_id", "split", F.col("has_plate").cast("int").alias("has_plate"), "plate_text").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -110,3 +110,30 @@ def test_best_crops_stream_like_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "c"))
     got = jobs.collected(jobs.best_crops_stream(stream, rules), "crops", "update").collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in topk.best_crops(spark.createDataFrame(rows, schema), rules).select("track_id", "place", "frame_index", "ord", "score", "is_detection").collect())
+
+
+def test_result_table_has_all_columns():
+    assert len(files.RESULT_COLUMNS) == 22
+
+
+def test_workbook_round_trip(spark):
+    rows = [("a", "1<2 & é", None), ("b", None, "x"), ("c", " pad ", "z")]
+    df = spark.createDataFrame([(1, *r) for r in rows], "part int, image string, text string, x string")
+    assert sorted(tuple(r) for r in files.sheet_rows(files.workbooks(df, "part", "image"), ["image", "text", "x"]).collect()) == sorted(rows, key=lambda r: r[0])
+
+
+def test_one_failing_picture_fails_no_other(spark):
+    from framequorum.operators import modules
+
+    def engine(picture):
+        if picture is None:
+            raise ValueError("no picture")
+        return [{"text": picture.decode(), "box": None}]
+
+    df = spark.createDataFrame([(1, b"a"), (2, None), (3, b"c")], "id int, image binary")
+    out = {r.id: r for r in modules.with_items(df, ("only", engine)).collect()}
+    assert out[1]["items"][0].text == "a" and out[2]["items"] == [] and out[2].engine is None and out[2].warnings == ["only: no picture"] and out[3].warnings == []
+
+
+def test_dataset_description():
+    assert files.dataset_yaml("/d", ["car", "plate"]).endswith("names:\n  0: car\n  1: plate\n")

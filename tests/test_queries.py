@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from framequorum.plans import boxes, media, readings
+from framequorum.plans import boxes, media, readings, storage
 
 SF = "/root/testdata/sf0.001"
-ORACLES = readings.ORACLES | boxes.ORACLES | media.ORACLES
-QUERIES = readings.QUERIES | boxes.QUERIES | media.QUERIES
+ORACLES = readings.ORACLES | boxes.ORACLES | media.ORACLES | storage.ORACLES
+QUERIES = readings.QUERIES | boxes.QUERIES | media.QUERIES | storage.QUERIES
 
 
 @pytest.fixture(scope="module")

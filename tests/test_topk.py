@@ -1,3 +1,5 @@
+import pytest
+
 import random
 
 from framequorum.config import BestFrameRules
@@ -45,3 +47,23 @@ def test_a_newcomer_that_beats_several_can_shrink_the_buffer():
 def test_fallbacks_go_when_a_detection_comes():
     assert add_crop([(0, False, 0.9, 0)], (50, True, 0.1, 1), 5, 6) == [(50, True, 0.1, 1)]
     assert add_crop([(50, True, 0.1, 1)], (99, False, 0.9, 2), 5, 6) == [(50, True, 0.1, 1)]
+
+
+def test_running_median_over_batches(spark):
+    """Tracks in several batches, nulls and a row without any value yet, against a plain loop."""
+    import random
+    from statistics import median
+
+    from framequorum.operators.topk import running_median
+
+    rng = random.Random(3)
+    rows = [(t, i, None if rng.random() < 0.3 else rng.randrange(50) / 7) for t in range(5) for i in range(rng.choice([1, 2, 60]))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.t, r.i): r._median for r in running_median(spark.createDataFrame(rows, "t long, i long, v double"), "v", "t", "i").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for t, i, _ in rows:
+        seen = [v for a, b, v in rows if a == t and b <= i and v is not None]
+        assert got[t, i] == (pytest.approx(median(seen)) if seen else None)
