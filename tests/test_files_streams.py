@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def test_csv_json_report(spark, tmp_path):
-    df = spark.createDataFrame([(1, "51F12345", [1, 2])], "track_id long, plate string, votes array<int>")
+    df = spark.createDataFrame([(1, "51F12345", [1, 2])], "track_id long, plate_text string, supporting_frames array<int>")
     files.write_csv(df, str(tmp_path / "c"))
     back = files.read_csv(spark, str(tmp_path / "c")).first()
-    assert (back.track_id, back.plate, back.votes, back.formatted) == ("1", "51F12345", "[1,2]", None)
+    assert (back.track_id, back.plate_text, back.supporting_frames, back.plate_display) == ("1", "51F12345", "[1,2]", None)
     files.write_json(df, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).first().votes == [1, 2]
-    assert files.report(df.select("track_id", "plate")).first().value == "[1]\n  plate: 51F12345"
+    assert spark.read.json(str(tmp_path / "j")).first().supporting_frames == [1, 2]
+    assert files.report(df.select("track_id", "plate_text")).first().value == "[1]\n  plate_text: 51F12345"
 
 
 def test_results_and_truth(spark, tmp_path):
