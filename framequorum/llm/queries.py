@@ -57,7 +57,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_suffix_dedup, op5_gif_media, op6_sentencepiece, op7_simhash, op8_top_k, op9_mixing, op10_url_filter, language_of_pages)}
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 per shard: rows, and that its slots run from 0 without a gap."""
+    out = op3_sharding(spark, sf_dir).groupBy("shard")
+    return out.agg(F.count("*").alias("rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("slots"))
+
+
+def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 per document: every one is there, with its size."""
+    return op3_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's parts of every url and the rule that decides it, with the rule's verdict."""
+    rows = op10_url_filter(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("told"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_suffix_dedup, op5_gif_media, op6_sentencepiece, op7_simhash, op8_top_k, op9_mixing, op10_url_filter, language_of_pages, sharding_sizes, sharded_documents, url_rules)}
 
 ORACLES = {
     "op8_top_k": """
@@ -73,4 +90,19 @@ ORACLES = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "sharding_sizes": """
+        WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(16)) AS s),
+        r AS (SELECT CAST(s AS INTEGER) AS shard, n // 16 + CAST(s < n % 16 AS BIGINT) AS rows FROM s, n)
+        SELECT shard, CAST(rows AS BIGINT) AS rows, CAST(0 AS BIGINT) AS first_slot, CAST(rows - 1 AS BIGINT) AS last_slot, CAST(rows AS BIGINT) AS slots FROM r WHERE rows > 0""",
+    "sharded_documents": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, 'rows' AS law FROM documents",
+    "url_rules": r"""
+        WITH p AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r AS (
+            SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                           WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                           WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                           WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END AS told FROM r""",
 }

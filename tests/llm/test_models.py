@@ -162,3 +162,42 @@ def test_url_model_on_held_out_hosts():
     parts = [((u, u.split("/")[2], "/" + "/".join(u.split("?")[0].split("/")[3:])), b) for u, b in data]
     model = urls.UrlModel.fit([p for p, _ in parts[:400]], [b for _, b in parts[:400]])
     assert ((model.block_probability([p for p, _ in parts[400:]]) >= 0.5) == np.array([b for _, b in parts[400:]])).mean() > 0.95
+
+
+def test_posterior_is_the_products_of_the_evidence(spark):
+    """Every factor by a plain loop: smoothed host prior, text, suffix and markup, without the row's own share."""
+    import math
+
+    names = ["a", "b", langid.UNKNOWN]
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        loglik = rng.normal(size=3) * 2
+        share = np.exp(loglik - loglik.max())
+        share /= share.sum()
+        domain = ["x.de", "y.fr", None][i % 3]
+        rows.append((i, None if domain is None else f"h{i % 2}.{domain}", domain, None if domain is None else domain[-2:], ["a", "b", None, None][i % 4], loglik.tolist(), share.tolist(), 5))
+    df = spark.createDataFrame(rows, "id long, host string, domain string, suffix string, markup string, loglik array<double>, share array<double>, trigrams long")
+    got = {r.id: r for r in langid.fuse(df, names, 0.5).collect()}
+    corpus = [sum(r[6][k] for r in rows) for k in range(3)]
+    for i, host, domain, suffix, markup, loglik, share, _ in rows:
+        prior = [(c + 1) / (len(rows) + 3) for c in corpus]
+        for at, own in ((2, domain), (1, host)):
+            if own is not None:
+                same = [r for r in rows if r[at] == own and r[0] != i]
+                prior = [(sum(r[6][k] for r in same) + langid.STRENGTH * prior[k]) / (len(same) + langid.STRENGTH) for k in range(3)]
+        logit = [loglik[k] + math.log(prior[k]) for k in range(3)]
+        for at, own in ((3, suffix), (4, markup)):
+            if own is not None:
+                same = [r for r in rows if r[at] == own and r[0] != i]
+                logit = [x + math.log((sum(r[6][k] for r in same) + 0.5) / (corpus[k] + 1)) for k, x in enumerate(logit)]
+        mass = [math.exp(x - max(logit)) for x in logit]
+        assert got[i].language == names[logit.index(max(logit))] and abs(got[i].confidence - 1 / sum(mass)) < 1e-5
+
+
+def test_sampled_counts_are_the_texts(spark):
+    """The sums that executors send are those of the sampled texts: with few rows, of all."""
+    rows = [(i, prose(i, 30), "en") for i in range(20)] + [(100 + i, prose(i, 30).replace("e", "ö"), "de") for i in range(20)]
+    model = langid.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    want = langid.TrigramModel.fit([t.encode() for _, t, _ in rows], [x for _, _, x in rows])
+    assert model.languages == want.languages and np.allclose(model.log_probs, want.log_probs)
