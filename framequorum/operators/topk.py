@@ -5,48 +5,74 @@ from __future__ import annotations
 from bisect import insort
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import BestFrameRules
 from ..functions.scoring import crop_score, expected_aspect
 
 
-def buffer(rows: Column, k: int, gap: int) -> Column:
-    """Fold of an ordered array of structs (frame_index, is_detection, score, ord) into the kept ones.
+KEPT = "track_id long, place int, frame_index long, ord long, score double, is_detection boolean"
+
+
+def add_crop(kept: list[tuple], new: tuple, k: int, gap: int) -> list[tuple]:
+    """One step of the greedy buffer; rows are (frame_index, is_detection, score, ord).
 
     A detection drops all fallbacks; a fallback is refused once a detection is kept; rows
     closer than ``gap`` frames conflict, and a newcomer must beat all of them to take their
-    place; a full buffer gives up its worst row to a better one, else refuses.
+    place; a full buffer gives up its worst row (of equal ones the one kept longest) to a
+    better one, else refuses. A row without a score is worse than any other; one without a
+    frame conflicts with none.
     """
-    key = lambda r: F.struct(r["is_detection"].cast("int").alias("d"), r["score"].alias("s"))
-
-    def add(kept: Column, new: Column) -> Column:
-        real = F.when(new["is_detection"], F.filter(kept, lambda r: r["is_detection"])).otherwise(kept)
-        refused = ~new["is_detection"] & F.exists(kept, lambda r: r["is_detection"])
-        near = lambda r: F.abs(r["frame_index"] - new["frame_index"]) < gap
-        beaten = F.exists(real, lambda r: near(r) & (key(r) >= key(new)))
-        free = F.filter(real, lambda r: ~near(r))
-        # The least key, and of equal ones the row kept longest.
-        worst = F.aggregate(F.slice(free, 2, k), free[0], lambda a, r: F.when(key(r) < key(a), r).otherwise(a))
-        full = F.size(free) >= k
-        rest = F.filter(free, lambda r: r["ord"] != worst["ord"])
-        put = F.when(~full, F.concat(free, F.array(new))).when(key(new) > key(worst), F.concat(rest, F.array(new))).otherwise(free)
-        return F.when(refused, kept).when(beaten, real).otherwise(put)
-
-    return F.aggregate(rows, F.filter(rows, lambda r: F.lit(False)), add)
+    key = lambda r: (r[1], r[2] is not None, r[2] or 0.0)
+    real = [r for r in kept if r[1]] if new[1] else kept
+    if not new[1] and any(r[1] for r in kept):
+        return kept
+    near = [r for r in real if r[0] is not None and new[0] is not None and abs(r[0] - new[0]) < gap]
+    if any(key(r) >= key(new) for r in near):
+        return real
+    free = [r for r in real if r not in near]
+    if len(free) < k:
+        return [*free, new]
+    worst = min(free, key=key)
+    return [*(r for r in free if r is not worst), new] if key(new) > key(worst) else free
+
+
+def in_place(track: int, kept: list[tuple]) -> list[tuple]:
+    """Rows of KEPT: detections first, then by score; equal rows as they were kept."""
+    order = sorted(range(len(kept)), key=lambda i: (not kept[i][1], kept[i][2] is None, -(kept[i][2] or 0.0), i))
+    return [(track, place + 1, kept[i][0], kept[i][3], kept[i][2], kept[i][1]) for place, i in enumerate(order)]
 
 
 def best_crops(candidates: DataFrame, rules: BestFrameRules = BestFrameRules(), interval: int = 5) -> DataFrame:
     """Kept crops of every track with their ``place``: detections first, then by score.
 
     candidates: track_id, frame_index, score, source, ord (unique per track, arrival order).
-    Equal rows keep their arrival order. A track's candidates are folded in one row.
+    Equal rows keep their arrival order. Tracks are sorted, with spill, and go through in
+    Arrow batches: a task holds the kept rows of one track, however long it is.
     """
-    row = F.struct("frame_index", "ord", (F.col("source") != "fallback").alias("is_detection"), F.col("score").cast("double").alias("score"))
-    folded = candidates.groupBy("track_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    kept = folded.select("track_id", F.posexplode(buffer(F.col("_rows"), max(1, rules.k), rules.gap(interval))).alias("_at", "_r"))
-    by = Window.partitionBy("track_id").orderBy(F.desc("_r.is_detection"), F.desc("_r.score"), "_at")
-    return kept.withColumn("place", F.row_number().over(by)).select("track_id", "place", F.col("_r.frame_index").alias("frame_index"), F.col("_r.ord").alias("ord"), F.col("_r.score").alias("score"), F.col("_r.is_detection").alias("is_detection"))
+    k, gap = max(1, rules.k), rules.gap(interval)
+    schema = pa.schema([("track_id", pa.int64()), ("place", pa.int32()), ("frame_index", pa.int64()), ("ord", pa.int64()), ("score", pa.float64()), ("is_detection", pa.bool_())])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        track, kept = None, []
+        for batch in batches:
+            done = []
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != track:
+                    done += in_place(track, kept)
+                    track, kept = t, []
+                kept = add_crop(kept, tuple(row), k, gap)
+            if done:
+                yield table(done)
+        if kept:
+            yield table(in_place(track, kept))
+
+    real = F.coalesce(F.col("source") != "fallback", F.lit(False))
+    rows = candidates.select(F.col("track_id").cast("long").alias("track_id"), F.col("frame_index").cast("long").alias("frame_index"), real.alias("is_detection"), F.col("score").cast("double").alias("score"), F.col("ord").cast("long").alias("ord"))
+    return rows.repartition("track_id").sortWithinPartitions("track_id", "frame_index", "ord").mapInArrow(run, KEPT)
 
 
 def latched(candidates: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 
 def lifecycle(seen: DataFrame) -> DataFrame:
     """Per track: first and last frame, hits, and the box, class and confidence of the last row."""
@@ -35,27 +37,51 @@ def interpolated(rows: DataFrame, value: str, key: str = "track_id", order: str
     return rows.withColumn(value, F.coalesce(filled, "_a", "_b", F.lit(0.0)).cast("double")).drop("_i", *ends)
 
 
-def numbered(rows: DataFrame, *order: str, by: str = "image", digits: int = 6, suffix: str = ".jpg") -> DataFrame:
-    """Names 000001.jpg, 000002.jpg, … in the order of the given columns, without one task for all rows.
+def ranked(rows: DataFrame, *order: str, out: str = "_place") -> DataFrame:
+    """Add the place of every row, from 1, in the order of the columns (nulls first; equal rows in any order).
+
+    Rows are dealt by range, sorted and written once; a row's place is its index in its part
+    and the sizes of the parts before, of which there are as many as shuffle partitions.
+    """
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33))
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(out, place).drop("_id", "_part", "_before")
+
+
+def counts_before(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _n, _before): rows of every value of key, and of all smaller values (nulls come first).
 
-    Rows are counted per value of the first column; each row's number is the count of all
-    smaller values and its place among its own.
+    The counts are dealt by range and written; each part adds up its own and takes the sums of
+    the parts before, so no task sees all values.
     """
-    head = order[0]
-    sizes = rows.groupBy(head).count()
-    offsets = sizes.withColumn("_before", F.sum("count").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy(head).orderBy(*order[1:]))
-    out = rows.withColumn("_p", place).join(offsets.select(head, F.coalesce("_before", F.lit(0)).alias("_before")), head)
-    number = F.col("_before") + F.col("_p")
-    return out.withColumn(by, F.concat(F.lpad(number.cast("string"), digits, "0"), F.lit(suffix))).drop("_p", "_before")
+    sizes = written(rows.groupBy(key).agg(F.count("*").alias("_n")).repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.groupBy("_part").agg(F.sum("_n").alias("_sum")).select("_part", so_far("_sum", Window.orderBy("_part")).alias("_offset"))
+    own = sizes.withColumn("_own", so_far("_n", Window.partitionBy("_part").orderBy(key)))
+    return own.join(F.broadcast(offsets), "_part").select(key, "_n", (F.col("_offset") + F.col("_own")).alias("_before"))
+
+
+def numbered(rows: DataFrame, *order: str, by: str = "image", digits: int = 6, suffix: str = ".jpg") -> DataFrame:
+    """Names 000001.jpg, 000002.jpg, … in the order of the given columns; longer numbers keep all their digits."""
+    number = F.col("_place").cast("string")
+    name = F.concat(F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number), F.lit(suffix))
+    return ranked(rows, *order).withColumn(by, name).drop("_place")
 
 
 def budgeted(rows: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` rows over all tracks in track order: a global limit, found by counts per track."""
-    sizes = rows.groupBy("track_id").count()
-    offsets = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1))).select("track_id", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("track_id").orderBy("ord"))
-    return rows.withColumn("_p", place).join(offsets.where(F.col("_before") < most), "track_id").where(F.col("_before") + F.col("_p") <= most).drop("_p", "_before")
+    """The first ``most`` rows over all tracks in order of track and ord: a global limit, found by counts per track.
+
+    Whole tracks come through without a sort; only the track at the limit is ranked. Rows
+    without a track come first.
+    """
+    sizes = counts_before(rows, "track_id").where(F.col("_before") < most).withColumnRenamed("track_id", "_track")
+    near = rows.join(sizes, F.col("track_id").eqNullSafe(F.col("_track")))
+    whole = F.col("_before") + F.col("_n") <= most
+    cut = ranked(near.where(~whole).withColumnRenamed("_before", "_smaller"), "ord").where(F.col("_smaller") + F.col("_place") <= most)
+    return near.where(whole).select(rows.columns).unionByName(cut.select(rows.columns))
 
 
 def split_by_group(groups: DataFrame, key: str, fraction: float, seed: str = "42") -> DataFrame:
@@ -76,10 +102,9 @@ def split_by_group(groups: DataFrame, key: str, fraction: float, seed: str = "42
 def every_step(rows: DataFrame, order: str, step: int, extremes: list[Column], each: int) -> DataFrame:
     """Systematic sample by order, and the ``each`` first rows by each of the extreme orders, without repetition.
 
-    Sampling is the feature; one task ranks the rows of the (small) report table.
+    Sampling is the feature; ``order`` tells rows apart.
     """
-    ranked = rows.withColumn("_p", F.row_number().over(Window.orderBy(order)))
-    out = ranked.where((F.col("_p") - 1) % step == 0).drop("_p")
+    out = ranked(rows, order).where((F.col("_place") - 1) % step == 0).drop("_place")
     for e in extremes:
         out = out.unionByName(rows.orderBy(e, order).limit(each))
     return out.dropDuplicates([order])

@@ -506,7 +506,7 @@ def agg18_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg19_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = L.quad_of()
     rows = _quads(spark, sf_dir).select(G.band(G.angle(q)).alias("band"), G.shoelace(q).alias("v"))
-    return rows.groupBy("band").agg(evaluate.nearest_rank(F.col("v"), 0.95).alias("p95"), evaluate.nearest_rank(F.col("v"), 0.5).alias("median"))
+    return evaluate.nearest_ranks(rows, "band", "v", p95=0.95, median=0.5)
 
 
 @query(QUADS_M + METRIC + """, t AS (SELECT manifest.track_id, count(*) AS n, count(*) FILTER (detected) / count(*) AS ratio FROM m JOIN manifest ON m.image = manifest.image GROUP BY ALL HAVING count(*) >= 3) SELECT count(*) AS tracks, round(avg(ratio), 6) AS mean_ratio FROM t""")

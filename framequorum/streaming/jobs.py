@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import BestFrameRules
+from ..operators.topk import KEPT, add_crop, in_place
 
 
 def timed(events: DataFrame, late: str = "10 minutes", column: str = "ts") -> DataFrame:
@@ -31,22 +32,6 @@ def without_repeats(events: DataFrame, *keys: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
 
 
-def add_crop(kept: list[tuple], new: tuple, k: int, gap: int) -> list[tuple]:
-    """One step of the greedy buffer; rows are (frame_index, is_detection, score, ord)."""
-    key = lambda r: (r[1], r[2])
-    real = [r for r in kept if r[1]] if new[1] else kept
-    if not new[1] and any(r[1] for r in kept):
-        return kept
-    near = [r for r in real if abs(r[0] - new[0]) < gap]
-    if any(key(r) >= key(new) for r in near):
-        return real
-    free = [r for r in real if r not in near]
-    if len(free) < k:
-        return [*free, new]
-    worst = min(free, key=key)
-    return [*(r for r in free if r is not worst), new] if key(new) > key(worst) else free
-
-
 def best_crops_stream(candidates: DataFrame, rules: BestFrameRules = BestFrameRules(), interval: int = 5) -> DataFrame:
     """Kept crops of every track after each batch (update mode): the state is at most k rows a track."""
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -59,12 +44,10 @@ def best_crops_stream(candidates: DataFrame, rules: BestFrameRules = BestFrameRu
         for r in rows.itertuples():
             kept = add_crop(kept, (int(r.frame_index), r.source != "fallback", float(r.score), int(r.ord)), k, gap)
         state.update(tuple(list(c) for c in zip(*kept, strict=True)) if kept else ([], [], [], []))
-        order = sorted(range(len(kept)), key=lambda i: (not kept[i][1], -kept[i][2], i))
-        yield pd.DataFrame([(key[0], p + 1, kept[i][0], kept[i][3], kept[i][2], kept[i][1]) for p, i in enumerate(order)], columns=["track_id", "place", "frame_index", "ord", "score", "is_detection"])
+        yield pd.DataFrame(in_place(key[0], kept), columns=[c.split()[0] for c in KEPT.split(", ")])
 
-    out = "track_id long, place int, frame_index long, ord long, score double, is_detection boolean"
     state = "frame_index array<long>, is_detection array<boolean>, score array<double>, ord array<long>"
-    return candidates.groupBy("track_id").applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+    return candidates.groupBy("track_id").applyInPandasWithState(run, KEPT, state, "update", GroupStateTimeout.NoTimeout)
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

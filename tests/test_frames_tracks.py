@@ -41,6 +41,45 @@ def test_sequence_numbers(spark):
     assert [(r.image, r.track_id, r["rank"]) for r in TR.numbered(df, "track_id", "rank").orderBy("image").collect()] == [("000001.jpg", 1, 1), ("000002.jpg", 1, 2), ("000003.jpg", 3, 1), ("000004.jpg", 3, 2)]
 
 
+def test_ranks_over_many_parts(spark):
+    """Repeated and missing keys, more parts than cores, and long numbers keep their digits."""
+    keys = [None, *range(200), *[7] * 50]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(5)
+    got = sorted((r._place, r.k) for r in TR.ranked(df, "k", "i").collect())
+    assert [p for p, _ in got] == list(range(1, 252)) and [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    before = {r.k: (r._before, r._n) for r in TR.counts_before(df, "k").collect()}
+    assert before == {k: (sum((x is not None, x or 0) < (k is not None, k or 0) for x in keys), keys.count(k)) for k in keys}
+    assert {len(r.image) for r in TR.numbered(df, "k", "i", digits=2).collect()} == {6, 7}
+    assert TR.ranked(df.limit(0), "k").count() == 0
+
+
+def test_budget_ends_within_a_track(spark):
+    rows = [(t, o) for t in (None, 3, 1, 2) for o in range(5)]
+    df = spark.createDataFrame(rows, "track_id long, ord long")
+    for most in (0, 5, 12, 99):
+        want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[:most]
+        assert sorted(map(repr, map(tuple, TR.budgeted(df, most).collect()))) == sorted(map(repr, want))
+
+
+def test_values_at_places(spark):
+    """One band with nearly all rows, many equal values, nulls, a band of nulls, and one without a name."""
+    import random
+
+    from framequorum.operators import evaluate as E
+
+    rng = random.Random(4)
+    rows = [("a", float(rng.randrange(40))) for _ in range(900)] + [("a", None), ("b", 2.5), ("c", None), (None, 1.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "band string, v double").repartition(6)
+    got = {r.band: (r.p95, r.median) for r in E.nearest_ranks(df, "band", "v", p95=0.95, median=0.5).collect()}
+    values = {b: sorted(v for x, v in rows if x == b and v is not None) for b in ("a", "b", None)}
+    assert got == {b: tuple(v[min(len(v) - 1, int(len(v) * q))] for q in (0.95, 0.5)) for b, v in values.items()}
+    total = {r.band: (r.n, r.detected, r.p90) for r in E.banded(df, F.col("v"), F.col("v") > 3).collect()}
+    assert set(total) == {"a", "b", "c", None, "all"} and total["c"] == (1, 0, None) and total["all"][0] == len(rows)
+    import numpy as np
+
+    assert abs(total["a"][2] - np.percentile([v for v in values["a"] if v > 3], 90)) < 1e-9
+
+
 def test_ccpd_names(spark):
     good = "025-95_113-154&383_386&473-386&473_177&454_154&383_363&402-0_0_22_27_27_33_16-37-15.jpg"
     rows = spark.createDataFrame([(good,), ("nonsense.jpg",), (None,)], "n string").select(L.ccpd_fields(F.col("n")).alias("f")).collect()

@@ -4,14 +4,29 @@ import random
 
 from framequorum.config import BestFrameRules
 from framequorum.operators import topk
-from framequorum.streaming.jobs import add_crop
+from framequorum.operators.topk import add_crop
 
 
 def loop(rows, k, gap):
+    """The rule word for word, on its own: it shares no step with the operator."""
     kept = []
-    for r in rows:
-        kept = add_crop(kept, r, k, gap)
-    return [kept[i] for i in sorted(range(len(kept)), key=lambda i: (not kept[i][1], -kept[i][2], i))]
+    for frame, real, score, ord_ in rows:
+        if real:
+            kept = [r for r in kept if r[1]]
+        elif any(r[1] for r in kept):
+            continue
+        rivals = [r for r in kept if abs(r[0] - frame) < gap]
+        if rivals and max(r[2] for r in rivals) >= score:
+            continue
+        for r in rivals:
+            kept.remove(r)
+        if len(kept) == k:
+            low = min(r[2] for r in kept)
+            if low >= score:
+                continue
+            kept.remove(next(r for r in kept if r[2] == low))
+        kept.append((frame, real, score, ord_))
+    return sorted(kept, key=lambda r: (-r[1], -r[2]))
 
 
 def test_fold_matches_a_loop(spark):
@@ -31,6 +46,20 @@ def test_fold_matches_a_loop(spark):
     assert got == want
 
 
+def test_odd_crops(spark):
+    """Small Arrow batches; no score, no source, no frame, no track; and no rows."""
+    rows = [(1, 5, None, "detection", 0), (1, 50, 0.5, "detection", 1), (1, None, 0.9, "detection", 2), (2, 5, 0.5, None, 0), (None, 7, 0.1, "detection", 0), (None, 70, 0.3, "detection", 1)]
+    df = spark.createDataFrame(rows, "track_id long, frame_index long, score double, source string, ord long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {(r.track_id, r.place): (r.ord, r.is_detection) for r in topk.best_crops(df, BestFrameRules(k=3, min_frame_gap=6)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(1, 1): (2, True), (1, 2): (1, True), (1, 3): (0, True), (2, 1): (0, False), (None, 1): (1, True), (None, 2): (0, True)}
+    assert topk.best_crops(df.limit(0)).count() == 0
+
+
 def test_invariants():
     rng = random.Random(1)
     rows = [(i * 2, rng.random() < 0.5, rng.random(), i) for i in range(300)]

@@ -76,3 +76,29 @@ def test_numbers_go_on_after_a_long_pause(spark):
 def test_tracking_off(spark):
     rows = K.untracked(spark.createDataFrame(_rows(range(3)), SCHEMA)).collect()
     assert sorted(r.track_id for r in rows if r.video_id == 1) == [1, 2, 3, 4, 5, 6]
+
+
+def test_small_batches_and_long_videos(spark):
+    """Frames that are cut by the border of a batch, and a video without an id, give what single videos give."""
+    rows = [(None if r[0] == 2 else r[0], *r[1:]) for r in _rows(range(15))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    single = [tuple(r) for v in ("0", "1", "null") for r in K.track(df.where(f"video_id <=> {v}"), TrackRules(min_hits=2)).collect()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        together = [tuple(r) for r in K.track(df, TrackRules(min_hits=2)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(together, key=repr) == sorted(single, key=repr) and len(together) == 3 * 2 * 14
+    assert K.track(df.limit(0)).count() == 0
+
+
+def test_filter_steps_equal_single_tracks():
+    """All tracks at once or each in a tracker of its own: the same boxes."""
+    paths = [lambda i: (10 + 7 * i, 20 + i, 60 + 8 * i, 50 + i), lambda i: (500 - 3 * i, 400, 560 - 3 * i, 470 + i)]
+    both = K.Tracker(TrackRules(min_hits=1))
+    alone = [K.Tracker(TrackRules(min_hits=1)) for _ in paths]
+    for i in range(9):
+        seen = step(both, [p(i) for p in paths])
+        for n, (t, p) in enumerate(zip(alone, paths, strict=True)):
+            assert seen[n][1:5] == step(t, [p(i)])[0][1:5]
