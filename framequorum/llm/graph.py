@@ -45,3 +45,20 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if np.array_equal(flat, labels):
                 break
             labels = flat
+
+
+def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the sets of each pair a[i], b[i] in ``labels``, in place; the indexes of the pairs that joined two sets, a tree for each."""
+    index, used = np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(used)
+        a, b, index, x, y = a[apart], b[apart], index[apart], x[apart], y[apart]
+        # Every set but the smallest of those that meet hangs itself below one that is smaller.
+        upper, first = np.unique(np.maximum(x, y), return_index=True)
+        labels[upper] = np.minimum(x, y)[first]
+        used.append(index[first])
+        while not np.array_equal(flat := labels[labels], labels):
+            labels[:] = flat

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import cos, pi
+from collections.abc import Callable
+from math import cos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import BROADCAST_ROWS, by_bytes, forget, join_hot, keep, lookup, small_batches, utf8_buffer
-from .graph import components, merge
+from .graph import components, forest, merge
 
 SEED = 42
 LEAF = 32
@@ -187,6 +188,51 @@ def link_groups(group: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarr
     return order[tied], order[labels[tied]]
 
 
+def _closest(n: int, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a least spanning forest over n rows: sets are joined by their closest pairs."""
+    order = np.argsort(differ, kind="stable")
+    i, j, differ = i[order], j[order], differ[order]
+    labels, cuts = np.arange(n), np.flatnonzero(np.diff(differ, prepend=-1, append=-1))
+    used = np.concatenate([np.zeros(0, np.int64), *(a + forest(labels, i[a:b], j[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))])
+    return i[used], j[used], differ[used]
+
+
+def link_trees(group: np.ndarray, x: np.ndarray, radius: int, tiers: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) with at most ``radius`` differing bits that tie every linked set of a group together, by its closest pairs.
+
+    As in link_groups, but what comes out are links themselves, fewer than rows, which a
+    check can accept or refuse one by one.
+    """
+    order = np.argsort(group, kind="stable")
+    g, x = group[order], x[order]
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    size = np.diff(np.r_[begin, len(g)])
+    rank, own = np.arange(len(g)) - np.repeat(begin, size), np.repeat(size, size)
+    none = np.zeros(0, np.int64)
+    small = [(none, none, none)]
+    for d in range(1, min(LEAF, int(size.max(initial=0)))):
+        i = np.flatnonzero((own <= LEAF) & (rank + d < own))
+        differ = _bits(x[i] ^ x[i + d])
+        near = differ <= radius
+        small.append((i[near], i[near] + d, differ[near]))
+    trees = [_closest(len(g), *(np.concatenate(c) for c in zip(*small, strict=True)))[:2]]
+    for b, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        part, tree = x[b : b + n], (none, none, none)
+        for i, j in close_pairs(part, radius):
+            differ = _bits(part[i] ^ part[j])
+            # A pair whose ends pairs of its tier or a closer one have joined already adds nothing.
+            tier = tiers * differ // (radius + 1)
+            joined = np.tile(np.arange(n), (tiers, 1))
+            for t in range(tiers):
+                low = tiers * tree[2] // (radius + 1) <= t
+                joined[t] = merge(joined[t], tree[0][low], tree[1][low])
+            new = joined[tier, i] != joined[tier, j]
+            tree = _closest(n, *(np.r_[a, c[new]] for a, c in zip(tree, (i, j, differ), strict=True)))
+        trees.append((b + tree[0], b + tree[1]))
+    i, j = (np.concatenate(c) for c in zip(*trees, strict=True))
+    return order[i], order[j]
+
+
 def _words(column: pa.Array, lanes: int) -> np.ndarray:
     raw, _ = utf8_buffer(column)
     return raw.view(">u8").astype(np.uint64).reshape(-1, lanes)
@@ -209,7 +255,7 @@ def _bands(lanes: int, bands: list[tuple[int, int]]):
     return run
 
 
-def _linked(lanes: int, radius: int):
+def _linked(lanes: int, radius: int, link: Callable = link_groups):
     cell = ["band", "key", "ci", "cj"]
 
     def links(table: pa.Table):
@@ -217,7 +263,7 @@ def _linked(lanes: int, radius: int):
         change = np.zeros(table.num_rows, bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        row, root = link_groups(np.cumsum(change), _words(table.column("fp"), lanes), radius)
+        row, root = link(np.cumsum(change), _words(table.column("fp"), lanes), radius)
         rep = table.column("rep").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(rep[root])], names=["a", "b"])
 
@@ -258,12 +304,14 @@ def bands_for(lanes: int, radius: int, exact: bool) -> list[tuple[int, int]]:
     return [(a, BAND_BITS) for a in range(0, total - BAND_BITS + 1, BAND_BITS)]
 
 
-def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: bool = True) -> DataFrame:
+def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: bool = True, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, component) of every distinct fingerprint; prints has doc_id and fp (8 bytes a lane).
 
     Distinct fingerprints, each with its smallest doc_id, are dealt by bands of bits; a band
     key with very many is cut into chunks, each pair of chunks in its own cell, so no task
-    holds a whole hot key and no pair is missed. Cells report trees, not pairs.
+    holds a whole hot key and no pair is missed. Cells report trees, not pairs: with
+    ``accept``, which takes links (a, b) of two ids and returns those that hold, trees of their
+    closest links.
     """
     spark = prints.sparkSession
     nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -282,8 +330,8 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
     else:
         dealt = dealt.select("band", "key", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp", "rep")
     cells = dealt.repartition(partitions, "band", "key", "ci", "cj").sortWithinPartitions("band", "key", "ci", "cj")
-    edges = cells.mapInArrow(_linked(lanes, radius), "a long, b long")
-    tied = components(edges)
+    edges = cells.mapInArrow(_linked(lanes, radius, link_trees if accept else link_groups), "a long, b long")
+    tied = components(accept(edges) if accept else edges)
     out = keep(nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")))
     forget(nodes)
     return out
@@ -304,16 +352,64 @@ def text_fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: s
     return small_batches(rows).mapInArrow(run, "doc_id long, fp binary")
 
 
-def simhash_components(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, exact: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(links: DataFrame, docs: DataFrame, words: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of the links (a, b) whose texts' sets of word shingles have a Jaccard similarity of ``least`` or more.
+
+    The text of the end with more links is sent once for some 64 links of it, that of the
+    other end once a link; a task holds two sets of shingles. Of rows that share an id the
+    smallest text is compared; two texts without words are alike.
+    """
+    links = keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    degree = keep(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
+    ends = links
+    for end in ("a", "b"):
+        ends = join_hot(ends, degree.select(F.col("node").alias(f"_{end}"), F.col("n").alias(f"n{end}")), end, f"_{end}")
+    hub, leaf = (F.when(F.col("na") >= F.col("nb"), F.col(x)).otherwise(F.col(y)) for x, y in ("ab", "ba"))
+    part = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("na", "nb") / F.lit(64.0))).cast("int")
+    pairs = keep(ends.select(hub.alias("hub"), part.alias("part"), leaf.alias("leaf")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(degree.select(F.col("node").alias("id")), "id", "left_semi")
+    texts = keep(texts.groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")))
+    hubs = pairs.select("hub", "part").distinct()
+    rows = pairs.join(texts, F.col("leaf") == F.col("id")).select("hub", "part", "leaf", "text")
+    rows = rows.unionByName(hubs.join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("leaf"), "text"))
+
+    def run(batches):
+        of, mine = None, set()
+        for batch in by_bytes(batches, "text", 1 << 20):
+            raw, offsets = utf8_buffer(batch.column(3))
+            data, a, b = raw.tobytes(), [], []
+            for hub, node, begin, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                found = set(shingle_hashes(data[begin:end], words))
+                if node is None:
+                    of, mine = hub, found
+                    continue
+                assert of == hub, "a hub's text comes before its links"
+                both = len(mine & found)
+                if both >= least * (len(mine) + len(found) - both):
+                    a.append(hub)
+                    b.append(node)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    out = keep(small_batches(rows).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("leaf")).mapInArrow(run, "a long, b long"))
+    forget(links, degree, pairs, texts)
+    return out
+
+
+def simhash_components(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, exact: bool = True, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): texts linked at ``radius`` or fewer differing bits.
 
+    With ``least`` a link also needs shingle sets of that Jaccard similarity; texts of equal
+    fingerprints are linked in any case.
+
     Defined cases: null, empty and white-space texts have fingerprint zero and are linked like
     any other; fewer words than a shingle make one shingle; rows that share an id are one
     node; a row without an id has the component of its fingerprint and links nothing by
     itself (null if no row with an id is there); an empty table gives no rows.
     """
     prints = keep(text_fingerprints(docs, words, lanes, id_col, text_col))
-    found = near_components(prints, lanes, radius, exact)
+    accept = None if least is None else lambda links: similar_links(links, docs, words, least, id_col, text_col)
+    found = near_components(prints, lanes, radius, exact, accept)
     found = found.withColumnRenamed("fp", "_fp")
     return join_hot(prints, found, "fp", "_fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -332,9 +428,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """The documents that stand for their group of near copies: those with its smallest id.
 
     512-bit fingerprints tell a similarity of 0.8 (about 78 differing bits) from unlike texts;
-    documents without an id stay. All columns are kept.
+    links are sought up to two standard deviations beyond, and each is checked by its shingle
+    sets. Documents without an id stay. All columns are kept.
     """
-    found = simhash_components(docs, words, lanes, radius_for(similarity, lanes), False, id_col, text_col)
+    radius = radius_for(similarity, lanes)
+    radius += round(2 * sqrt(radius * (1 - radius / (64 * lanes))))
+    found = simhash_components(docs, words, lanes, radius, False, id_col, text_col, similarity)
     gone = keep(found.where("doc_id <> component_id").select("doc_id").distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -155,3 +155,66 @@ def test_recall_does_not_fall_with_the_row_count(spark, monkeypatch):
     i, j = brute_pairs(x, radius)
     found = [out[rows[a][1]] == out[rows[b][1]] for a, b in zip(i, j, strict=True)]
     assert len(found) > 150 and np.mean(found) >= 0.98
+
+
+def _jaccard(a, b):
+    x, y = (set(S.shingle_hashes(t.encode(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def _brute_groups(texts, least=0.8):
+    """Smallest id reachable over links of at least that similarity, every pair compared."""
+    label = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and _jaccard(texts[i], texts[j]) >= least]
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_near_copies_are_those_of_a_checked_similarity(spark):
+    """Copies with 1 to 9 of 240 words changed, around the threshold: only links of 0.8 count, chains do."""
+    rng, texts = random.Random(5), {}
+    for family in range(12):
+        words = prose(100 + family, 240).split()
+        for copy in range(6):
+            mine = list(words)
+            for _ in range(rng.choice([0, 1, 2, 4, 6, 9]) if copy else 0):
+                mine[rng.randrange(len(mine))] = f"w{rng.randrange(10**6)}"
+            texts[family * 6 + copy] = " ".join(mine)
+    want = _brute_groups(texts)
+    df = spark.createDataFrame([*texts.items(), (900, ""), (901, " "), (902, None)], "doc_id long, text string")
+    kept = {r.doc_id for r in S.drop_near_duplicates(df).collect()}
+    gone = set(texts) - kept
+    assert {i for i in gone if want[i] == i} == set(), "a document without an earlier near copy went"
+    missed = {i for i in texts if want[i] != i} - gone
+    assert len(missed) <= 1 and len(gone) > 20 and 900 in kept and not {901, 902} & kept
+
+
+def test_links_are_checked_by_their_sets(spark):
+    texts = {1: prose(1, 300), 2: prose(1, 300) + " tail", 3: prose(2, 300), 4: "", 5: None, 6: "a b"}
+    docs = spark.createDataFrame([*texts.items(), (2, prose(1, 300) + " tail"), (None, "x")], "doc_id long, text string")
+    links = spark.createDataFrame([(2, 1), (1, 2), (1, 3), (3, 2), (4, 5), (4, 6), (6, 6)], "a long, b long")
+    assert {tuple(sorted(r)) for r in S.similar_links(links, docs, 5, 0.8).collect()} == {(1, 2), (4, 5)}
+    assert S.similar_links(links.limit(0), docs, 5, 0.8).count() == 0
+
+
+def test_trees_tie_what_is_linked(monkeypatch):
+    """Trees of real links, no more than rows less sets, by closest pairs; small groups, large ones, several blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, (9, 8)).astype(np.uint64)[rng.integers(0, 9, 400)]
+    for i in range(len(x)):
+        for _ in range(rng.integers(0, 60)):
+            x[i, rng.integers(8)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    group = np.repeat([0, 1, 2, 3], [300, 40, 30, 30])
+    monkeypatch.setattr(S, "BLOCK", 5000)
+    i, j = S.link_trees(group, x, 90)
+    differ = np.bitwise_count(x[:, None] ^ x[None]).sum(-1)
+    assert (group[i] == group[j]).all() and (differ[i, j] <= 90).all()
+    for most in (30, 90):
+        a, b = np.nonzero(np.triu((differ <= most) & (group[:, None] == group[None]), 1))
+        want = graph.merge(np.arange(len(x)), a, b)
+        low = differ[i, j] <= most + (6 if most < 90 else 0)
+        got = graph.merge(np.arange(len(x)), i[low], j[low])
+        assert all(got[p] == got[q] for p, q in zip(a, b, strict=True))
+    assert len(i) == len(x) - len(np.unique(want))
