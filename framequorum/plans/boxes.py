@@ -169,13 +169,26 @@ def agg27_best_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.best_score(view(spark, sf_dir, "vehicles"), view(spark, sf_dir, "plates")).withColumn("best", F.round("best", 6))
 
 
-@query()
+@query(BOTH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", every AS (SELECT v.video_id, v.frame_index, v.track_id, p.ord, p.confidence, {SCORE} AS score FROM vehicles v JOIN plates p ON v.video_id = p.video_id AND v.frame_index = p.frame_index),
+    best AS (SELECT video_id, frame_index, track_id, max(score) AS best FROM every GROUP BY ALL),
+    turn AS (SELECT video_id, frame_index, track_id, ord, score, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY best DESC, track_id, score DESC, ord) AS n FROM every JOIN best USING (video_id, frame_index, track_id) WHERE coalesce(confidence, 1) >= 0.25 AND score > 0),
+    fold AS (SELECT DISTINCT video_id, frame_index, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(v BIGINT, p BIGINT, s DOUBLE)[]) AS taken FROM turn
+        UNION ALL SELECT t.video_id, t.frame_index, t.n, CASE WHEN len(list_filter(taken, lambda x: x.v = t.track_id OR x.p = t.ord)) > 0 THEN taken ELSE list_append(taken, {{'v': CAST(t.track_id AS BIGINT), 'p': CAST(t.ord AS BIGINT), 's': t.score}}) END
+            FROM fold JOIN turn t ON t.video_id = fold.video_id AND t.frame_index = fold.frame_index AND t.n = fold.n + 1)
+    SELECT video_id, frame_index, x.v AS track_id, x.p AS plate_ord, round(x.s, 6) AS score FROM (SELECT video_id, frame_index, unnest(taken) AS x FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY n DESC) AS last FROM fold) WHERE last = 1)""")
 def jn3_exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy and exclusive: an ordered fold, tested against a loop."""
     return assign.assign_plates(view(spark, sf_dir, "vehicles"), view(spark, sf_dir, "plates")).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(BOTH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", near AS (SELECT v.video_id, v.frame_index, v.ord AS a, p.ord AS b, {_iou_sql('v', 'p')} AS iou FROM vehicles v JOIN plates p ON v.video_id = p.video_id AND v.frame_index = p.frame_index),
+    turn AS (SELECT *, dense_rank() OVER (PARTITION BY video_id, frame_index ORDER BY a) AS n FROM near),
+    choice AS (SELECT video_id, frame_index, n, a, b, iou FROM turn WHERE iou > 0 UNION ALL SELECT DISTINCT video_id, frame_index, n, a, NULL, 0 FROM turn),
+    tried AS (SELECT DISTINCT video_id, frame_index, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a BIGINT, b BIGINT, iou DOUBLE)[]) AS pairs, CAST(0 AS DOUBLE) AS total FROM turn
+        UNION ALL SELECT c.video_id, c.frame_index, c.n, CASE WHEN c.b IS NULL THEN pairs ELSE list_append(pairs, {{'a': CAST(c.a AS BIGINT), 'b': CAST(c.b AS BIGINT), 'iou': CAST(c.iou AS DOUBLE)}}) END, total + c.iou
+            FROM tried JOIN choice c ON c.video_id = tried.video_id AND c.frame_index = tried.frame_index AND c.n = tried.n + 1 WHERE c.b IS NULL OR len(list_filter(pairs, lambda x: x.b = c.b)) = 0),
+    best AS (SELECT video_id, frame_index, unnest(pairs) AS x FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY n DESC, total DESC) AS place FROM tried) WHERE place = 1)
+    SELECT video_id, frame_index, x.a AS a_ord, x.b AS b_ord, round(x.iou, 6) AS iou FROM best WHERE x.iou >= 0.05""")
 def jn1_optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal one-to-one pairs of each frame's vehicles and plates at an IoU of 0.05 or more."""
     return assign.match_frames(view(spark, sf_dir, "vehicles"), view(spark, sf_dir, "plates"), 0.05).withColumn("iou", F.round("iou", 6))
@@ -245,13 +258,30 @@ def win3_rank_in_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "candidates").withColumn("place", F.row_number().over(by).cast("long")).where("place <= 5").select("track_id", "place", "ord", "score")
 
 
-@query()
+# A fold in SQL: each step takes a track's next row into the list of kept ones (k = 5, gap = 10).
+FOLD = """WITH RECURSIVE {views}, s AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_index, ord) AS n, {{'f': CAST(frame_index AS BIGINT), 'd': source <> 'fallback', 's': CAST(score AS DOUBLE), 'o': CAST(ord AS BIGINT)}} AS r FROM {rows}),
+    fold AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(f BIGINT, d BOOLEAN, s DOUBLE, o BIGINT)[]) AS kept FROM s
+        UNION ALL SELECT track_id, n, CASE WHEN refused THEN kept WHEN beaten THEN rivals WHEN len(free) < 5 THEN list_append(free, r) WHEN r.s > low THEN list_append(list_filter(free, lambda x: x.o <> list_filter(free, lambda y: y.s = low)[1].o), r) ELSE free END FROM (
+            SELECT *, list_min(list_transform(free, lambda x: x.s)) AS low FROM (
+                SELECT *, len(list_filter(rivals, lambda x: abs(x.f - r.f) < 10 AND x.s >= r.s)) > 0 AS beaten, list_filter(rivals, lambda x: abs(x.f - r.f) >= 10) AS free FROM (
+                    SELECT s.track_id, s.n, s.r, fold.kept, CASE WHEN s.r.d THEN list_filter(fold.kept, lambda x: x.d) ELSE fold.kept END AS rivals, NOT s.r.d AND len(list_filter(fold.kept, lambda x: x.d)) > 0 AS refused FROM fold JOIN s ON s.track_id = fold.track_id AND s.n = fold.n + 1)))),
+    done AS (SELECT track_id, unnest(kept) AS r, unnest(generate_series(1, len(kept))) AS i FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC) AS last FROM fold) WHERE last = 1)
+    SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY r.d DESC, r.s DESC, i) AS INT) AS place, r.f AS frame_index, r.o AS ord, {score} AS score, r.d AS is_detection FROM done"""
+
+
+@query(FOLD.format(views=CANDIDATES.removeprefix("WITH "), rows="candidates", score="r.s"))
 def win2_best_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy and gap-constrained: an ordered fold, tested against a loop."""
     return topk.best_crops(view(spark, sf_dir, "candidates"), BestFrameRules(k=5))
 
 
-@query()
+# The rows in front of the fold: the latch, then the score, whose median counts the latched rows.
+LATCH = CANDIDATES.replace("candidates AS (", "collected AS (", 1) + """, candidates AS (SELECT * EXCLUDE (seen) FROM (SELECT *, max(CASE WHEN source <> 'fallback' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM collected) WHERE source <> 'fallback' OR seen = 0)"""
+TOTAL = """, flushed AS (SELECT track_id, frame_index, ord, source, least(1, greatest(0, 0.4e0 * least(1, greatest(0, ln(1 + variance) / ln(1001))) + 0.25e0 * least(1, greatest(0, h / 60e0)) + 0.1e0 * CASE WHEN w > 0 AND h > 0 THEN least(1, greatest(0, 1 - abs(ln(w / CAST(h AS DOUBLE)) - ln(expected)))) ELSE 0 END
+        + 0.25e0 * least(1, greatest(0, confidence)) - 0.1e0 * least(1, greatest(0, exposure)))) AS score FROM x WHERE h >= 24)"""
+
+
+@query(FOLD.format(views=(LATCH + MEDIAN + TOTAL).removeprefix("WITH "), rows="flushed", score="round(r.s, 6)"))
 def stm6_collect_and_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.flushed(view(spark, sf_dir, "candidates")).withColumn("score", F.round("score", 6))
 

@@ -48,7 +48,16 @@ def img1_brightness_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pictures(spark, sf_dir).select("image", F.round(mean, 6).alias("brightness"), F.round(glare, 6).alias("exposure"))
 
 
-@query()
+# The made pictures as a table: a cell's value follows from its image's number, row and column.
+CELLS = with_views("manifest") + """, cells AS (SELECT image, n, r, c, ((r * 60 + c) * (n % 97 + 3) + r * (n % 31)) % 256 AS v FROM (SELECT image, CAST(substr(image, 1, 6) AS BIGINT) AS n FROM manifest), range(24) a(r), range(60) b(c)),
+    bins AS (SELECT image, v, count(*) AS k FROM cells GROUP BY ALL),
+    sums AS (SELECT image, v, sum(k) OVER (PARTITION BY image ORDER BY v) / 1440e0 AS w, sum(k * v) OVER (PARTITION BY image ORDER BY v) / 1440e0 AS m, sum(k * v) OVER (PARTITION BY image) / 1440e0 AS mean FROM bins),
+    split AS (SELECT image, coalesce(arg_max(v, b), 0) AS threshold FROM (SELECT image, v, (mean * w - m) * (mean * w - m) / (w * (1 - w)) AS b FROM sums WHERE w < 1 ORDER BY image, v) GROUP BY ALL)"""
+
+
+@query(CELLS + """, around AS (SELECT image, r, c, v, ((CASE r WHEN 0 THEN 1 ELSE r - 1 END) * 60 + c) AS up, ((CASE r WHEN 23 THEN 22 ELSE r + 1 END) * 60 + c) AS down, (r * 60 + CASE c WHEN 0 THEN 1 ELSE c - 1 END) AS back, (r * 60 + CASE c WHEN 59 THEN 58 ELSE c + 1 END) AS fore, n FROM cells),
+    bend AS (SELECT image, list_sum(list_transform([up, down, back, fore], lambda i: (i * (n % 97 + 3) + (i // 60) * (n % 31)) % 256)) - 4 * v AS d FROM around)
+    SELECT image, round((sum(d * d) - sum(d) * sum(d) / 1440e0) / 1440e0, 6) AS sharpness FROM bend GROUP BY ALL""")
 def img1_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def sharp(pixels: pd.Series) -> pd.Series:
@@ -85,9 +94,13 @@ def geo6_quad_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "labeled").where(L.has_quad()).mapInPandas(run, "image string, iou double")
 
 
-@query()
+@query(with_views("labeled") + """, q AS (SELECT image, tl_x, tl_y, br_x - tl_x AS ax, br_y - tl_y AS ay, bl_x - tr_x AS bx, bl_y - tr_y AS by_, tr_x - tl_x AS dx, tr_y - tl_y AS dy FROM labeled WHERE greatest(abs(tl_x), abs(tl_y), abs(tr_x), abs(tr_y), abs(br_x), abs(br_y), abs(bl_x), abs(bl_y)) > 0),
+    t AS (SELECT *, (dx * by_ - dy * bx) / CAST(ax * by_ - ay * bx AS DOUBLE) AS t FROM q) SELECT image, round(tl_x + t * ax + 1e-9, 6) AS x, round(tl_y + t * ay + 1e-9, 6) AS y FROM t""")
 def geo10_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The middle of the unit square under the map of the square's corners to each quad."""
+    """The middle of the unit square under the map of the square's corners to each quad: where its diagonals meet.
+
+    Coordinates are 1e-9 up before they are rounded, as many lie half-way between two steps.
+    """
 
     def run(batches):
         square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
@@ -95,7 +108,7 @@ def geo10_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for r in pdf.itertuples():
                 h = P.homography(square, np.array([[r.tl_x, r.tl_y], [r.tr_x, r.tr_y], [r.br_x, r.br_y], [r.bl_x, r.bl_y]], float))
-                rows.append((r.image, *np.round(P.applied(h, np.array([[0.5, 0.5]]))[0], 6).tolist()))
+                rows.append((r.image, *np.round(P.applied(h, np.array([[0.5, 0.5]]))[0] + 1e-9, 6).tolist()))
             yield pd.DataFrame(rows, columns=["image", "x", "y"])
 
     return view(spark, sf_dir, "labeled").where(L.has_quad()).mapInPandas(run, "image string, x double, y double")
@@ -112,7 +125,14 @@ def jsn2_result_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RO.with_items(rows).select("event_id", F.size("items").cast("long").alias("items"), F.col("items")[0]["confidence"].alias("confidence"))
 
 
-@query()
+@query(with_views("vehicles").replace("WITH ", "WITH RECURSIVE ", 1) + """, item AS (SELECT video_id, frame_index, 'v' || CAST(ord AS STRING) AS t, (x1 + x2) / 2e0 AS x, (y1 + y2) / 2e0 AS y, y2 - y1 AS h, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY ord) AS k FROM vehicles),
+    turn AS (SELECT item.*, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY y, k) AS n, 0.6e0 * quantile_cont(greatest(1, CAST(h AS DOUBLE)), 0.5) OVER (PARTITION BY video_id, frame_index) AS reach FROM item),
+    fold AS (SELECT DISTINCT video_id, frame_index, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS means, CAST([] AS BIGINT[]) AS sizes, CAST([] AS STRUCT(line BIGINT, x DOUBLE, k BIGINT, t VARCHAR)[]) AS words FROM turn
+        UNION ALL SELECT video_id, frame_index, n, CASE WHEN line > len(means) THEN list_append(means, y) ELSE list_transform(means, lambda m, i: CASE WHEN i = line THEN (m * sizes[i] + y) / (sizes[i] + 1) ELSE m END) END,
+            CASE WHEN line > len(means) THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda s, i: CASE WHEN i = line THEN s + 1 ELSE s END) END, list_append(words, {'line': CAST(line AS BIGINT), 'x': x, 'k': k, 't': t}) FROM (
+            SELECT t.*, means, sizes, words, coalesce(nullif(list_position(list_transform(means, lambda m: abs(t.y - m) <= t.reach), true), 0), len(means) + 1) AS line FROM fold JOIN turn t ON t.video_id = fold.video_id AND t.frame_index = fold.frame_index AND t.n = fold.n + 1)),
+    done AS (SELECT video_id, frame_index, means, unnest(words) AS w FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY n DESC) AS last FROM fold) WHERE last = 1)
+    SELECT video_id, frame_index, string_agg(w.t, ' ' ORDER BY means[w.line], w.line, w.x, w.k) AS words FROM done GROUP BY ALL""")
 def win10_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a frame's boxes in reading order: an ordered fold, tested against a loop."""
     item = F.struct(F.concat(F.lit("v"), F.col("ord").cast("string")).alias("text"), ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y"), (F.col("y2") - F.col("y1")).cast("double").alias("h"))
