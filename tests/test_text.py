@@ -79,3 +79,14 @@ def test_nothing_accepted(spark):
 
 def test_empty_table(spark):
     assert vote(_readings(spark, READINGS).limit(0)).count() == 0
+
+
+def test_similarity_of_readings(spark):
+    """Twice the matched characters over all of them; the longest run first, then what is left and right of it."""
+    from framequorum.operators.evaluate import with_ratio
+
+    # Pairs and their similarity, worked out by hand.
+    want = {("abcd", "bcde"): 0.75, ("51F12345", "51F12345"): 1.0, ("51F12345", "51F12346"): 0.875, ("abxcd", "abcd"): 8 / 9, ("ab", "cd"): 0.0, ("", ""): 1.0, (None, ""): 1.0, (None, "a"): 0.0}
+    rows = spark.createDataFrame([*want, *want], "a string, b string")
+    got = [((r.a, r.b), r.ratio) for r in with_ratio(rows, "a", "b").collect()]
+    assert len(got) == 2 * len(want) and all(v == pytest.approx(want[k]) for k, v in got)
