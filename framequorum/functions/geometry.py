@@ -63,18 +63,22 @@ def containment(vehicle: Box, plate: Box) -> Column:
     return iou(vehicle, plate) + F.when(inside, 1.0).otherwise(0.0)
 
 
-def corner_order(points: list[tuple[Column, Column]]) -> Column:
-    """TL, TR, BR, BL of four points as an array of (x, y): least and largest x + y, largest and least x - y.
+def corner_picks(points: list[tuple[Column, Column]]) -> dict[str, Column]:
+    """The points of least and largest x + y (tl, br), largest and least x - y (tr, bl).
 
-    The first of equal points counts.
+    Each is a struct (k, i, x, y) of its key, which is least, its place and itself; the first of
+    equal points counts.
     """
 
     def pick(key, sign: int) -> Column:
-        rows = [F.struct((sign * key(x, y)).alias("k"), F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(points)]
-        best = F.array_min(F.array(*rows))
-        return F.struct(best["x"].alias("x"), best["y"].alias("y"))
+        return F.array_min(F.array(*[F.struct((sign * key(x, y)).alias("k"), F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(points)]))
+
+    return {"tl": pick(lambda x, y: x + y, 1), "tr": pick(lambda x, y: x - y, -1), "br": pick(lambda x, y: x + y, -1), "bl": pick(lambda x, y: x - y, 1)}
 
-    return F.array(pick(lambda x, y: x + y, 1), pick(lambda x, y: x - y, -1), pick(lambda x, y: x + y, -1), pick(lambda x, y: x - y, 1))
+
+def corner_order(points: list[tuple[Column, Column]]) -> Column:
+    """TL, TR, BR, BL of four points as an array of (x, y), as picked by ``corner_picks``."""
+    return F.array(*[F.struct(p["x"].alias("x"), p["y"].alias("y")) for p in corner_picks(points).values()])
 
 
 def _turns(q: Quad) -> list[Column]:

@@ -51,3 +51,7 @@ def test_changes_of_split_do_not_hang_on_the_order_of_rows(spark, tmp_path):
 
 def test_labels_round_trip_by_the_name(spark, parts):
     same_as_sql(spark, parts, "part", boxes.src_label_round_trip, boxes.ORACLES["src_label_round_trip"])
+
+
+def test_rows_of_one_image_are_one_quad(spark, parts):
+    same_as_sql(spark, parts, "part", boxes.geo2_corner_order, boxes.ORACLES["geo2_corner_order"])
