@@ -23,6 +23,8 @@ BAND_BITS = 13
 #: Pairs that are compared at a time.
 BLOCK = 1 << 20
 ONES = np.uint64(0x0101010101010101)
+#: Columns that tell cells apart.
+CELL = ["band", "key", "ci", "cj"]
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -233,11 +235,38 @@ def link_trees(group: np.ndarray, x: np.ndarray, radius: int, tiers: int = 16) -
     return order[i], order[j]
 
 
+def open_pairs(group: np.ndarray, x: np.ndarray, radius: int, component: np.ndarray):
+    """Blocks of all pairs (row, row) of a group with at most ``radius`` differing bits whose rows are of different components."""
+    order = np.argsort(group, kind="stable")
+    g, x, component = group[order], x[order], component[order]
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    size = np.diff(np.r_[begin, len(g)])
+    rank, own = np.arange(len(g)) - np.repeat(begin, size), np.repeat(size, size)
+    for d in range(1, min(LEAF, int(size.max(initial=0)))):
+        i = np.flatnonzero((own <= LEAF) & (rank + d < own))
+        i = i[component[i] != component[i + d]]
+        i = i[_bits(x[i] ^ x[i + d]) <= radius]
+        yield order[i], order[i + d]
+    for b, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        for i, j in close_pairs(x[b : b + n], radius):
+            apart = component[b + i] != component[b + j]
+            yield order[b + i[apart]], order[b + j[apart]]
+
+
 def _words(column: pa.Array, lanes: int) -> np.ndarray:
     raw, _ = utf8_buffer(column)
     return raw.view(">u8").astype(np.uint64).reshape(-1, lanes)
 
 
+def _band_key(x: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """``bits`` bits of each fingerprint from bit ``first`` on."""
+    lane, low = divmod(first, 64)
+    key = x[:, lane] >> np.uint64(low)
+    if low + bits > 64:
+        key |= x[:, lane + 1] << np.uint64(64 - low)
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def _bands(lanes: int, bands: list[tuple[int, int]]):
     """Rows (band, key, fp, rep) for each fingerprint; a band is (first bit, bits), bits at most 32."""
 
@@ -245,27 +274,34 @@ def _bands(lanes: int, bands: list[tuple[int, int]]):
         for batch in batches:
             x = _words(batch.column(0), lanes)
             for b, (first, bits) in enumerate(bands):
-                lane, low = divmod(first, 64)
-                key = x[:, lane] >> np.uint64(low)
-                if low + bits > 64:
-                    key |= x[:, lane + 1] << np.uint64(64 - low)
-                key = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+                key = _band_key(x, first, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["band", "key", "fp", "rep"])
 
     return run
 
 
-def _linked(lanes: int, radius: int, link: Callable = link_groups):
-    cell = ["band", "key", "ci", "cj"]
+def _linked(lanes: int, radius: int, link: str = "groups", bands: list[tuple[int, int]] = ()):
+    """Links within cells: chains (``groups``), trees of the closest, with their cells (``trees``), or all pairs of different components (``open``)."""
+    cell = CELL
 
     def links(table: pa.Table):
         columns = [table.column(c).to_numpy() for c in cell]
         change = np.zeros(table.num_rows, bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        row, root = link(np.cumsum(change), _words(table.column("fp"), lanes), radius)
-        rep = table.column("rep").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(rep[root])], names=["a", "b"])
+        group, x, rep = np.cumsum(change), _words(table.column("fp"), lanes), table.column("rep").to_numpy()
+        if link == "open":
+            for i, j in open_pairs(group, x, radius, table.column("component").to_numpy()):
+                # Every cell that such a pair shares is open; the one of its first band reports it.
+                first = np.ones(len(i), bool)
+                for b, (at, bits) in enumerate(bands):
+                    later = np.flatnonzero(first & (columns[0][i] > b))
+                    first[later] = _band_key(x[i[later]], at, bits) != _band_key(x[j[later]], at, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i[first]]), pa.array(rep[j[first]])], names=["a", "b"])
+        else:
+            row, root = (link_trees if link == "trees" else link_groups)(group, x, radius)
+            ends = [pa.array(rep[row]), pa.array(rep[root])]
+            yield pa.RecordBatch.from_arrays([*ends, *(pa.array(c[row]) for c in columns)], names=["a", "b", *cell]) if link == "trees" else pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -282,11 +318,11 @@ def _linked(lanes: int, radius: int, link: Callable = link_groups):
                 same &= table.column(c).to_numpy() == v.as_py()
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
-                yield links(table.slice(0, cut))
+                yield from links(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
                 rows -= cut
         if rows:
-            yield links(pa.Table.from_batches(held))
+            yield from links(pa.Table.from_batches(held))
 
     return run
 
@@ -309,9 +345,12 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
 
     Distinct fingerprints, each with its smallest doc_id, are dealt by bands of bits; a band
     key with very many is cut into chunks, each pair of chunks in its own cell, so no task
-    holds a whole hot key and no pair is missed. Cells report trees, not pairs: with
-    ``accept``, which takes links (a, b) of two ids and returns those that hold, trees of their
-    closest links.
+    holds a whole hot key and no pair is missed. Cells report trees, not pairs.
+
+    With ``accept``, which takes links (a, b) of two ids and returns those that hold, cells
+    report trees of their closest links first. Where the links that hold leave a tree in parts,
+    its cell is searched once more, and every link between such parts is checked as well: no
+    link that holds is left out for closer ones that do not.
     """
     spark = prints.sparkSession
     nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -329,9 +368,25 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
         dealt = dealt.select("band", "key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "fp", "rep")
     else:
         dealt = dealt.select("band", "key", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp", "rep")
-    cells = dealt.repartition(partitions, "band", "key", "ci", "cj").sortWithinPartitions("band", "key", "ci", "cj")
-    edges = cells.mapInArrow(_linked(lanes, radius, link_trees if accept else link_groups), "a long, b long")
-    tied = components(accept(edges) if accept else edges)
+    in_cells = lambda rows: rows.repartition(partitions, *CELL).sortWithinPartitions(*CELL)
+    if accept is None:
+        tied = components(in_cells(dealt).mapInArrow(_linked(lanes, radius), "a long, b long"))
+    else:
+        trees = keep(in_cells(dealt).mapInArrow(_linked(lanes, radius, "trees"), "a long, b long, band int, key long, ci int, cj int"))
+        held = keep(accept(trees.select("a", "b")).select("a", "b"))
+        tied = components(held)
+        of = lambda end: tied.select(F.col("node").alias(f"_{end}"), F.col("component").alias(f"of_{end}"))
+        ends = trees.join(of("a"), trees["a"] == F.col("_a"), "left").join(of("b"), trees["b"] == F.col("_b"), "left")
+        parted = keep(ends.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*CELL).distinct())
+        if parted.limit(1).count():
+            again = dealt.join(F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted, CELL, "left_semi")
+            again = again.join(of("a"), again["rep"] == F.col("_a"), "left").select(*CELL, "fp", "rep", F.coalesce("of_a", "rep").alias("component"))
+            rest = in_cells(again).mapInArrow(_linked(lanes, radius, "open", bands), "a long, b long")
+            pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+            rest = keep(rest.select(*pair).distinct().join(trees.select(*pair).distinct(), ["a", "b"], "left_anti"))
+            tied = components(held.union(accept(rest).select("a", "b")))
+            forget(rest)
+        forget(trees, held, parted)
     out = keep(nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")))
     forget(nodes)
     return out

@@ -218,3 +218,22 @@ def test_trees_tie_what_is_linked(monkeypatch):
         got = graph.merge(np.arange(len(x)), i[low], j[low])
         assert all(got[p] == got[q] for p, q in zip(a, b, strict=True))
     assert len(i) == len(x) - len(np.unique(want))
+
+
+@pytest.mark.parametrize("n", [90, 1300])
+def test_no_link_is_left_out_for_closer_ones_that_fail(spark, n):
+    """Whatever the check accepts of all close pairs of a cell ties components: single links among many that fail, hot cells too."""
+    rng, radius = np.random.default_rng(n), 90
+    x = rng.integers(0, 2**63, (n // 30, 8)).astype(np.uint64)[rng.integers(0, n // 30, n)]
+    for i in range(n):
+        for _ in range(rng.integers(10, 50)):
+            x[i, rng.integers(8)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    x[:, 0] &= ~np.uint64(0x1FFF)
+    x = np.unique(x, axis=0)[rng.permutation(n)]
+    a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None]).sum(-1) <= radius, 1))
+    holds = (a * 31 + b * 17) % 23 == 0
+    want = graph.merge(np.arange(n), a[holds], b[holds])
+    rows = [(i, v.astype(">u8").tobytes()) for i, v in enumerate(x)]
+    accept = lambda links: links.where("(least(a, b) * 31 + greatest(a, b) * 17) % 23 = 0")
+    out = {bytes(r.fp): r.component for r in S.near_components(spark.createDataFrame(rows, "doc_id long, fp binary"), 8, radius, False, accept).collect()}
+    assert [out[fp] for _, fp in rows] == want.tolist() and 0 < holds.sum() < len(a)
