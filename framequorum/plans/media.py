@@ -30,11 +30,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey pictures of 24 x 60 made of an image's number."""
+def _pictures(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Grey pictures of 24 x 60 made of an image's number; ``once``: one for all rows that share an image's name.
+
+    Names are small, so few files hold very many: they are dealt to all tasks, with the numbers
+    that a picture is made of, before pixels are made.
+    """
     n = F.substring("image", 1, 6).cast("long")
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(24 * 60 - 1)), lambda i: ((i * (n % 97 + 3) + F.floor(i / 60) * (n % 31)) % 256).cast("int"))
-    return view(spark, sf_dir, "manifest").select("image", pixels.alias("pixels"))
+    images = view(spark, sf_dir, "manifest").select("image", (n % 97 + 3).alias("a"), (n % 31).alias("b"))
+    images = images.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")
+    pixels = F.expr("transform(sequence(0, 24 * 60 - 1), i -> cast((i * a + (i div 60) * b) % 256 as int))")
+    return (images.distinct() if once else images).select("image", pixels.alias("pixels"))
 
 
 @query(with_views("manifest") + """, p AS (SELECT image, CAST(substr(image, 1, 6) AS BIGINT) AS n, unnest(generate_series(0, 1439)) AS i FROM manifest),
@@ -45,7 +51,7 @@ def img1_brightness_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
     share = lambda f: F.size(F.filter("pixels", f)) / F.size("pixels")
     glare = F.least(F.lit(1.0), share(lambda x: x >= 225) + share(lambda x: x <= 30))
-    return _pictures(spark, sf_dir).select("image", F.round(mean, 6).alias("brightness"), F.round(glare, 6).alias("exposure"))
+    return _pictures(spark, sf_dir, once=True).select("image", F.round(mean, 6).alias("brightness"), F.round(glare, 6).alias("exposure"))
 
 
 # The made pictures as a table: a cell's value follows from its image's number, row and column.

@@ -31,6 +31,25 @@ def same_as_sql(spark, folder, table, query, sql):
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
 
 
+def test_labels_round_trip_by_the_name(spark, parts):
+    same_as_sql(spark, parts, "part", boxes.src_label_round_trip, boxes.ORACLES["src_label_round_trip"])
+
+
+def test_rows_of_one_image_are_one_quad(spark, parts):
+    same_as_sql(spark, parts, "part", boxes.geo2_corner_order, boxes.ORACLES["geo2_corner_order"])
+
+
+def test_numbers_are_cut_as_in_sql(spark, monkeypatch):
+    ranked, base = TR.ranked, 12_345_670
+    monkeypatch.setattr(TR, "ranked", lambda *a: (df := ranked(*a)).withColumn("_place", df["_place"] + base))
+    sql = boxes.ORACLES["win8_sequence_numbers"].replace("row_number() OVER (ORDER BY track_id, ord)", f"{base} + row_number() OVER (ORDER BY track_id, ord)")
+    same_as_sql(spark, "/root/testdata/sf0.001", "lineitem", boxes.win8_sequence_numbers, sql)
+
+
+def test_one_row_an_image(spark, parts):
+    same_as_sql(spark, parts, "part", media.img1_brightness_exposure, media.ORACLES["img1_brightness_exposure"])
+
+
 def test_changes_of_split_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     """Keys that share image and track: of two such rows the earlier frame comes first, whatever the order of the file."""
     pairs = [(p, 10 * p + j) for p in range(100_000, 101_000) for j in range(10) if (9 * p + j) % 311 == 0 and 7 not in (p % 10, j)]
@@ -47,18 +66,3 @@ def test_changes_of_split_do_not_hang_on_the_order_of_rows(spark, tmp_path):
         part.astype({"p_size": "int32"}).to_parquet(tmp_path / name / "part.parquet", index=False)
         got.append(boxes.agg24_split_consistency(spark, str(tmp_path / name)).collect()[0]["changes"])
     assert len(pairs) > 10 and got == [changes, changes]
-
-
-def test_labels_round_trip_by_the_name(spark, parts):
-    same_as_sql(spark, parts, "part", boxes.src_label_round_trip, boxes.ORACLES["src_label_round_trip"])
-
-
-def test_rows_of_one_image_are_one_quad(spark, parts):
-    same_as_sql(spark, parts, "part", boxes.geo2_corner_order, boxes.ORACLES["geo2_corner_order"])
-
-
-def test_numbers_are_cut_as_in_sql(spark, monkeypatch):
-    ranked, base = TR.ranked, 12_345_670
-    monkeypatch.setattr(TR, "ranked", lambda *a: (df := ranked(*a)).withColumn("_place", df["_place"] + base))
-    sql = boxes.ORACLES["win8_sequence_numbers"].replace("row_number() OVER (ORDER BY track_id, ord)", f"{base} + row_number() OVER (ORDER BY track_id, ord)")
-    same_as_sql(spark, "/root/testdata/sf0.001", "lineitem", boxes.win8_sequence_numbers, sql)
