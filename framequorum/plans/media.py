@@ -72,6 +72,13 @@ def img1_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pictures(spark, sf_dir).select("image", sharp("pixels").alias("sharpness"))
 
 
+def _each_once(pixels: pd.Series) -> tuple[np.ndarray, list[int]]:
+    """The different pictures of a batch, (n, 24, 60), and the place of each row's among them: equal ones are measured once a batch."""
+    known: dict[bytes, int] = {}
+    of = [known.setdefault(np.asarray(p, np.float32).tobytes(), len(known)) for p in pixels]
+    return np.frombuffer(b"".join(known), np.float32).astype(float).reshape(-1, 24, 60), of
+
+
 @query()
 def img5_prepared_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every picture's variants for reading: one row each, with its mean."""

@@ -53,3 +53,29 @@ def test_only_leaning_quads_are_warped():
 def test_padded_size():
     assert P.padded(np.zeros((20, 50))).shape == (48, 320) and P.padded(np.zeros((5, 500))).shape == (48, 320)
     assert P.equalised(np.random.default_rng(1).integers(0, 256, (20, 40)).astype(float)).shape == (20, 40)
+
+
+def test_skews_are_those_of_single_pictures():
+    """Made pictures, two lines that lean, flat and mirrored ones, whose angles tie; and pictures too large for the matrix."""
+    i = np.arange(24 * 60)
+    made = [(i * (n % 97 + 3) + i // 60 * (n % 31)) % 256 for n in range(0, 3007, 31)]
+    lines = np.full((24, 60), 255.0)
+    lines[6:9, 5:55] = lines[14:17, 5:55] = 0
+    rows = [*(p.reshape(24, 60) for p in made), lines, *(P.rotated(lines, d, 255.0) for d in (-7.3, 3.0, 11.0)), np.full((24, 60), 9.0), np.tile(lines[:, :30], 2)]
+    stack = np.array(rows, float)
+    assert P.skews(stack).tolist() == [P.skew(g) for g in stack]
+    large = np.kron(stack[-6:-4], np.ones((3, 3)))
+    assert P.skews(large).tolist() == [P.skew(g) for g in large] and P.skews(stack[:, :3]).tolist() == [0.0] * len(stack)
+
+
+def test_skews_are_faster_than_one_by_one():
+    from time import process_time
+
+    stack = np.random.default_rng(4).integers(0, 256, (150, 24, 60)).astype(float)
+    P.skews(stack[:1])
+    start = process_time()
+    P.skews(stack)
+    middle = process_time()
+    for g in stack[:50]:
+        P.skew(g)
+    assert middle - start < 1.5 * (process_time() - middle)
