@@ -85,7 +85,11 @@ def img5_prepared_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, name, round(float(v.mean()), 4)) for i, p in zip(pdf["image"], pdf["pixels"], strict=True) for name, v in P.prepared(np.asarray(p, float).reshape(24, 60)).items()]
+            found: list[list[tuple]] = []
+            pictures, of = _each_once(pdf["pixels"])
+            for g, turn in zip(pictures, P.skews(pictures), strict=True):
+                found.append([(name, round(float(v.mean()), 4)) for name, v in P.prepared(g, turn=float(turn)).items()])
+            rows = [(i, *r) for i, k in zip(pdf["image"], of, strict=True) for r in found[k]]
             yield pd.DataFrame(rows, columns=["image", "variant", "mean"])
 
     return _pictures(spark, sf_dir).mapInPandas(run, "image string, variant string, mean double")
