@@ -33,10 +33,10 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim(F.coalesce("track_id", F.lit(""))) != "")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of result documents, one row each, with their video and track."""
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Readings of result documents, one row each, with their video and track; a file is one document, or with ``lines`` one a line."""
     reading = "struct<text: string, raw_text: string, confidence: double, frame_index: bigint, score: double, engine: string>"
-    rows = spark.read.schema(f"video string, tracks array<struct<track_id: bigint, text: string, readings: array<{reading}>>>").json(path, multiLine=True)
+    rows = spark.read.schema(f"video string, tracks array<struct<track_id: bigint, text: string, readings: array<{reading}>>>").json(path, multiLine=not lines)
     tracks = rows.select("video", F.explode("tracks").alias("t"))
     return tracks.select("video", "t.track_id", F.posexplode_outer("t.readings").alias("ord", "r")).select("video", "track_id", (F.col("ord") + 1).cast("long").alias("ord"), "r.*")
 

@@ -137,3 +137,21 @@ def test_one_failing_picture_fails_no_other(spark):
 
 def test_dataset_description():
     assert files.dataset_yaml("/d", ["car", "plate"]).endswith("names:\n  0: car\n  1: plate\n")
+
+
+def test_no_document_holds_a_whole_video(spark, tmp_path, monkeypatch):
+    """All tracks of one video: documents of about 1,000 tracks each, and every reading read back."""
+    import json
+
+    import pandas as pd
+
+    from framequorum.plans import storage
+
+    n = 3000
+    columns = {"l_orderkey": [16 * (i // 2) for i in range(2 * n)], "l_partkey": range(2 * n), "l_suppkey": range(2 * n), "l_linenumber": [1 + i % 2 for i in range(2 * n)], "l_quantity": 5.0, "l_extendedprice": 1.0, "l_discount": 0.1, "l_tax": 0.0, "l_linestatus": "F", "l_shipdate": pd.Timestamp("2020-01-01")}
+    pd.DataFrame(columns).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"{tmp_path}/out")
+    rows = storage.src6_result_documents(spark, str(tmp_path)).select("video", "track_id", "ord").collect()
+    documents = [len(json.loads(line)["tracks"]) for f in (tmp_path / "out").rglob("*.json") for line in f.read_text().splitlines()]
+    assert sum(documents) == n and max(documents) < 1500
+    assert sorted(map(tuple, rows)) == sorted(("v0", 16 * t, o) for t in range(n) for o in (1, 2))
