@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, keep, lookup, small_batches, utf8_buffer
-from .urls import url_parts
+from .common import BROADCAST_ROWS, by_bytes, keep, lean, lookup, small_batches, url_parts, utf8_buffer
 
 #: Labelled rows per language that the text model is fitted on; beyond LANGUAGES they share the rows of so many, LEAST_ROWS each at least.
 ROWS_PER_LANGUAGE = 400
@@ -144,7 +143,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 ids = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(n[ids])], names=["lang", "trigram", "n"])
 
-    seen = small_batches(rows.where(unit < share).select("lang", "text")).mapInArrow(counted, "lang string, trigram int, n long")
+    seen = small_batches(rows.where(unit < share).select("lang", "text")).mapInArrow(lean(counted), "lang string, trigram int, n long")
     table = seen.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("trigram", "n")).alias("counts")).toArrow()
     found = {r["lang"]: np.zeros(1 << BITS, np.int64) for r in counts}
     for lang, column in zip(table["lang"].to_pylist(), table["counts"].to_pylist() if table.num_rows else [], strict=True):
@@ -166,7 +165,7 @@ def identify(rows: DataFrame, model: TrigramModel, threshold: float = 0.5) -> Da
             others = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "host", "domain", "suffix", "markup")]
             yield pa.RecordBatch.from_arrays([*others, *lists, pa.array(count)], names=["id", "host", "domain", "suffix", "markup", "loglik", "share", "trigrams"])
 
-    scored = small_batches(rows).select("id", "text", "host", "domain", "suffix", "markup").mapInArrow(run, "id long, host string, domain string, suffix string, markup string, loglik array<double>, share array<double>, trigrams long")
+    scored = small_batches(rows).select("id", "text", "host", "domain", "suffix", "markup").mapInArrow(lean(run), "id long, host string, domain string, suffix string, markup string, loglik array<double>, share array<double>, trigrams long")
     return fuse(keep(scored), model.languages, threshold)
 
 

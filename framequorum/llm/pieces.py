@@ -11,7 +11,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, small_batches, utf8_buffer
+from .common import KEPT, by_bytes, lean, small_batches, utf8_buffer
 
 #: Where the public tokenizers are; a parameter of every operator here.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -341,6 +341,7 @@ class Pieces:
 
 
 _LOADED: dict[int, Pieces] = {}
+KEPT["pieces"] = _LOADED
 
 
 def loaded(model: bytes) -> Pieces:
@@ -381,7 +382,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(offsets)), pa.array(whole, pa.bool_())], names=["doc_id", "ids", "n_ids", "n_bytes", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
+    return small_batches(rows).mapInArrow(lean(run, "pieces"), "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -397,4 +398,4 @@ def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc
                 texts = [None if ids is None else pieces.decode(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(lean(run, "pieces"), "doc_id long, text string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, forget, join_hot, keep, release_shuffles, small_batches, utf8_buffer
+from .common import KEPT, by_bytes, forget, join_hot, keep, lean, release_shuffles, small_batches, utf8_buffer
 from .suffix import Tape, scratch, sorted_suffixes
 
 #: Bytes of a string whose repetition counts; common prefixes are counted up to this.
@@ -44,6 +44,7 @@ NO_ID = -(2**63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
+KEPT["repeats"] = _POWERS
 
 ENTRY = np.dtype([("value", "<u8"), ("core", "<u4", (CORES,)), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("reach", "u1"), ("windows", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("length", "<u4")])
@@ -551,8 +552,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(partitions, -(-total // (36 * BUCKET_SEGMENTS)))
-    blobs = docs.where(F.octet_length("bytes") >= LENGTH).select("doc", F.col("text").alias("hash"), F.col("bytes").alias("text")).mapInArrow(_deal(buckets, FEW, SLICE), "bucket int, kind byte, blob binary")
-    decided = keep(blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh(HOT), DECISIONS))
+    blobs = docs.where(F.octet_length("bytes") >= LENGTH).select("doc", F.col("text").alias("hash"), F.col("bytes").alias("text")).mapInArrow(lean(_deal(buckets, FEW, SLICE), "repeats"), "bucket int, kind byte, blob binary")
+    decided = keep(blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_weigh(HOT), "repeats"), DECISIONS))
     fields = ["doc", "text", "start", "length"]
     spans = decided.where(F.col("kind") == IS_SPAN).select(*fields)
     cores = decided.where(F.col("kind") == IS_CORE).select("key", *fields)
@@ -565,8 +566,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release_shuffles(spark)
     shards = max(partitions, -(-size // SHARD_BYTES))
     lists = wanted.groupBy("doc", "text").agg(F.collect_list(F.struct("key", "start", "length", "split")).alias("wanted"))
-    pieces = docs.join(lists, ["doc", "text"]).select("doc", "text", "bytes", "wanted").mapInArrow(_cut(shards), "bucket int, kind byte, blob binary")
-    found = pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_shards, DECISIONS).select(*fields)
+    pieces = docs.join(lists, ["doc", "text"]).select("doc", "text", "bytes", "wanted").mapInArrow(lean(_cut(shards), "repeats"), "bucket int, kind byte, blob binary")
+    found = pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sorted_shards, "repeats"), DECISIONS).select(*fields)
     out = keep(spans.unionByName(found))
     forget(decided, shared)
     return out
@@ -590,7 +591,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(small_batches(rows).select("doc", "text", "bytes"))
     lists = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(lists, ["doc", "text"], "left").select("row", F.col("bytes").alias("text"), "spans").mapInArrow(_finish(keep_text), f"row {kind}, {fields}")
+    return rows.join(lists, ["doc", "text"], "left").select("row", F.col("bytes").alias("text"), "spans").mapInArrow(lean(_finish(keep_text), "repeats"), f"row {kind}, {fields}")
 
 
 def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, by_bytes, forget, join_hot, keep, lookup, small_batches, utf8_buffer
+from .common import BROADCAST_ROWS, by_bytes, forget, join_hot, keep, lean, lookup, small_batches, utf8_buffer
 from .graph import components, forest, merge
 
 SEED = 42
@@ -22,6 +22,8 @@ CHUNK_ROWS = 50_000
 BAND_BITS = 13
 #: Pairs that are compared at a time.
 BLOCK = 1 << 20
+#: Close pairs that are handed on at a time; of a block of near copies nearly all are close.
+CLOSE = 1 << 18
 ONES = np.uint64(0x0101010101010101)
 #: Columns that tell cells apart.
 CELL = ["band", "key", "ci", "cj"]
@@ -92,6 +94,14 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
+def _apart(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of rows, a lane at a time: a pair's whole rows are many times its two indexes."""
+    out = np.zeros(len(i), np.int64)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[i, k] ^ x[j, k])
+    return out
+
+
 class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits all their members share.
 
@@ -147,10 +157,12 @@ def close_pairs(x: np.ndarray, radius: int):
         differ = np.zeros((min(step, len(x) - at), len(x) - at), np.uint16)
         for w in words[:half]:
             differ += np.bitwise_count(w[at : at + step, None] ^ w[None, at:])
-        i, j = np.nonzero(differ <= radius)
-        i, j = i[j > i] + at, j[j > i] + at
-        near = _bits(x[i] ^ x[j]) <= radius
-        yield i[near], j[near]
+        close = np.flatnonzero(differ <= radius)
+        for first in range(0, len(close), CLOSE):
+            i, j = np.divmod(close[first : first + CLOSE], len(x) - at)
+            i, j = i[j > i] + at, j[j > i] + at
+            near = _apart(x, i, j) <= radius
+            yield i[near], j[near]
 
 
 def link_groups(group: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +233,7 @@ def link_trees(group: np.ndarray, x: np.ndarray, radius: int, tiers: int = 16) -
     for b, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
         part, tree = x[b : b + n], (none, none, none)
         for i, j in close_pairs(part, radius):
-            differ = _bits(part[i] ^ part[j])
+            differ = _apart(part, i, j)
             # A pair whose ends pairs of its tier or a closer one have joined already adds nothing.
             tier = tiers * differ // (radius + 1)
             joined = np.tile(np.arange(n), (tiers, 1))
@@ -357,7 +369,7 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
     known = nodes.where("rep is not null")
     rows = known.count()
     bands = bands_for(lanes, radius, exact)
-    dealt = known.mapInArrow(_bands(lanes, bands), "band int, key long, fp binary, rep long")
+    dealt = known.mapInArrow(lean(_bands(lanes, bands)), "band int, key long, fp binary, rep long")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max(1000, min(200_000, rows * len(bands) // (8 * partitions)))
     hot = keep(dealt.groupBy("band", "key").count().where(F.col("count") > limit).select(F.struct("band", "key").alias("cell"), F.ceil(F.col("count") / F.lit(float(limit))).cast("int").alias("chunks")))
@@ -370,9 +382,9 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
         dealt = dealt.select("band", "key", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp", "rep")
     in_cells = lambda rows: rows.repartition(partitions, *CELL).sortWithinPartitions(*CELL)
     if accept is None:
-        tied = components(in_cells(dealt).mapInArrow(_linked(lanes, radius), "a long, b long"))
+        tied = components(in_cells(dealt).mapInArrow(lean(_linked(lanes, radius)), "a long, b long"))
     else:
-        trees = keep(in_cells(dealt).mapInArrow(_linked(lanes, radius, "trees"), "a long, b long, band int, key long, ci int, cj int"))
+        trees = keep(in_cells(dealt).mapInArrow(lean(_linked(lanes, radius, "trees")), "a long, b long, band int, key long, ci int, cj int"))
         held = keep(accept(trees.select("a", "b")).select("a", "b"))
         tied = components(held)
         of = lambda end: tied.select(F.col("node").alias(f"_{end}"), F.col("component").alias(f"of_{end}"))
@@ -381,7 +393,7 @@ def near_components(prints: DataFrame, lanes: int = 1, radius: int = 3, exact: b
         if parted.limit(1).count():
             again = dealt.join(F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted, CELL, "left_semi")
             again = again.join(of("a"), again["rep"] == F.col("_a"), "left").select(*CELL, "fp", "rep", F.coalesce("of_a", "rep").alias("component"))
-            rest = in_cells(again).mapInArrow(_linked(lanes, radius, "open", bands), "a long, b long")
+            rest = in_cells(again).mapInArrow(lean(_linked(lanes, radius, "open", bands)), "a long, b long")
             pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
             rest = keep(rest.select(*pair).distinct().join(trees.select(*pair).distinct(), ["a", "b"], "left_anti"))
             tied = components(held.union(accept(rest).select("a", "b")))
@@ -404,7 +416,7 @@ def text_fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[i : i + 8 * lanes] for i in range(0, len(flat), 8 * lanes)], pa.binary())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, fp binary")
+    return small_batches(rows).mapInArrow(lean(run), "doc_id long, fp binary")
 
 
 def similar_links(links: DataFrame, docs: DataFrame, words: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,7 +458,7 @@ def similar_links(links: DataFrame, docs: DataFrame, words: int, least: float, i
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    out = keep(small_batches(rows).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("leaf")).mapInArrow(run, "a long, b long"))
+    out = keep(small_batches(rows).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("leaf")).mapInArrow(lean(run), "a long, b long"))
     forget(links, degree, pairs, texts)
     return out
 

@@ -1,8 +1,11 @@
+import subprocess
+import sys
+
 import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from framequorum.llm import pieces
+from framequorum.llm import common, pieces, repeats
 
 from .conftest import prose
 from .test_suffix_repeats import brute
@@ -35,3 +38,15 @@ def test_stages(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
+
+
+def test_workers_hold_one_operator():
+    """A worker that encoded texts keeps the vocabulary for the next task of that operator, but not for others; no stage needs pandas."""
+    pieces.loaded(open(pieces.MODEL_PATH, "rb").read())
+    repeats._powers(1000)
+    assert list(common.lean(lambda b: iter([len(pieces._LOADED), len(repeats._POWERS)]), "pieces")([])) == [1, 0]
+    repeats._powers(1000)
+    assert list(common.lean(lambda b: iter([len(pieces._LOADED), len(repeats._POWERS)]), "repeats")([])) == [0, 2]
+    assert list(common.lean(lambda b: iter([len(repeats._POWERS)]))([])) == [0]
+    code = "import sys; from framequorum.llm import langid, mixing, pieces, repeats, simhash; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -237,3 +238,18 @@ def test_no_link_is_left_out_for_closer_ones_that_fail(spark, n):
     accept = lambda links: links.where("(least(a, b) * 31 + greatest(a, b) * 17) % 23 = 0")
     out = {bytes(r.fp): r.component for r in S.near_components(spark.createDataFrame(rows, "doc_id long, fp binary"), 8, radius, False, accept).collect()}
     assert [out[fp] for _, fp in rows] == want.tolist() and 0 < holds.sum() < len(a)
+
+
+def test_a_cell_of_near_copies_takes_little_memory():
+    """Nearly all pairs of such a cell are close; what is held for them at a time does not grow with their rows' lanes."""
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.integers(0, 2**63, 8).astype(np.uint64), (1500, 1))
+    for _ in range(12):
+        x[np.arange(1500), rng.integers(0, 8, 1500)] ^= np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)
+    group, rows = np.zeros(1500, int), np.arange(1500)
+    for search in (lambda: len(S.link_trees(group, x, 90)[0]), lambda: sum(len(i) for i, _ in S.open_pairs(group, x, 90, rows))):
+        tracemalloc.start()
+        found = search()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found in (1499, 1500 * 1499 // 2) and most < 64 << 20
